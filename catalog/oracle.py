@@ -28,7 +28,8 @@ def strip(x: str) -> str:
 
 
 def norm(x: str) -> str:
-    return rf"coalesce(regexp_replace(upper({strip(f'cast({x} as varchar)')}), '\s+', ' ', 'g'), '')"
+    upper = f"replace(upper({strip(f'cast({x} as varchar)')}), 'ẞ', 'SS')"
+    return rf"coalesce(regexp_replace({upper}, '\s+', ' ', 'g'), '')"
 
 
 def bare(x: str) -> str:
@@ -350,18 +351,33 @@ _FIELDS = list(COLUMN_TO_FIELD.values())
 _BASE = f"""m as materialized ({bills.MASTER_SQL}), d as materialized ({bills.DOCUMENT_SQL}),
 mk as materialized (select row_idx, {bare('id_pelanggan')} as i, {norm('nomor_meter')} as mt, {address('nama_pelanggan')} as n, {address('alamat')} as a, {norm('nama_pelanggan')} as cn from m),
 dk as materialized (select doc_id, {bare('id_pelanggan')} as i, {norm('nomor_meter')} as mt, {address('nama_pelanggan')} as n, {address('alamat')} as a, {norm('nama_pelanggan')} as cn from d)"""
-_SIMS = (
-    similarities("select n as txt from dk", "select n as txt from mk", "sn")
-    + ",\n"
-    + similarities("select a as txt from dk", "select a as txt from mk", "sa")
-)
+
+
+def pair_scores(pairs: str, column: str, name: str) -> str:
+    """CTEs ending in {name}(doc_id, row_idx, s) for the given pairs of dk and mk."""
+    return f"""{name}_d as materialized {grams_of('dk', 'doc_id', column)},
+{name}_m as materialized {grams_of('mk', 'row_idx', column)},
+{name}_q as materialized (select p.doc_id, p.row_idx, x.g, x.t from {pairs} p join {name}_d x on x.doc_id = p.doc_id),
+{name}_p as (select q.doc_id, q.row_idx, sum(q.t * y.t) as dot, sum(q.t * q.t) as sa, sum(y.t * y.t) as sb
+ from {name}_q q join {name}_m y on y.row_idx = q.row_idx and y.g = q.g group by 1, 2),
+{name} as materialized (select p.doc_id, p.row_idx, case when dk.{column} = mk.{column} then 1.0 else
+ round(dot / sqrt((sa + {UNSHARED} * (nx.n - sa)) * (sb + {UNSHARED} * (ny.n - sb))), 4) end as s
+ from {name}_p p join (select doc_id, sum(t * t) as n from {name}_d group by 1) nx using (doc_id)
+ join (select row_idx, sum(t * t) as n from {name}_m group by 1) ny using (row_idx) join dk using (doc_id) join mk using (row_idx))"""
+
+
 _POINTS = "(case when dk.i <> '' and dk.i = mk.i then 10.0 else 0 end) + (case when dk.mt <> '' and dk.mt = mk.mt then 5.0 else 0 end)"
+# An address adds 2 points at most, so only rows within 2 of the best by the rest need one.
 _BEST = f"""{_BASE},
-{_SIMS},
-allpairs as (select doc_id, row_idx, {_POINTS} + 4 * coalesce(sn.s, 0) + 2 * coalesce(sa.s, 0) as score
- from dk cross join mk left join sn on sn.a = dk.n and sn.b = mk.n left join sa on sa.a = dk.a and sa.b = mk.a),
+{similarities("select n as txt from dk", "select n as txt from mk", "sn")},
+without as materialized (select doc_id, row_idx, {_POINTS} + 4 * coalesce(sn.s, 0) as score
+ from dk cross join mk left join sn on sn.a = dk.n and sn.b = mk.n),
+near as materialized (select * from without where score >= 1 qualify score + 2.001 >= max(score) over (partition by doc_id)),
+{pair_scores('near', 'a', 'sa')},
+allpairs as (select near.doc_id, near.row_idx, near.score + 2 * coalesce(sa.s, 0) as score from near left join sa using (doc_id, row_idx)),
 ranked as (select doc_id, max(score) as score, arg_min(row_idx, (-round(score, 6), row_idx)) as row_idx from allpairs group by doc_id),
-best as materialized (select doc_id, case when score >= 3 then row_idx end as row_idx, case when score >= 3 then score end as score from ranked)"""
+best as materialized (select doc_id, case when score >= 3 then row_idx end as row_idx, case when score >= 3 then score end as score
+ from dk left join ranked using (doc_id))"""
 ORACLE["best_match_rows"] = f"with {_BEST} select doc_id, row_idx, {half_even('score', 3)} as match_score from best"
 ORACLE["best_match_plain"] = f"""
 with {_BASE},
@@ -409,17 +425,19 @@ def _cells(ml: bool) -> str:
 
 
 _SIDES = ", ".join(f"d.{f} as d_{f}, m.{f} as m_{f}" for f in _FIELDS)
-_OWN = f"""{_BASE}, {_SIMS},
-j as materialized (select d.doc_id, m.row_idx, {_SIDES}, coalesce(sn.s, 0) as name_s, coalesce(sa.s, 0) as addr_s
- from d join m on m.row_idx = cast(substring(d.doc_id, 2) as bigint) join dk using (doc_id) join mk using (row_idx)
- left join sn on sn.a = dk.n and sn.b = mk.n left join sa on sa.a = dk.a and sa.b = mk.a)"""
-_MATCHED = f"""{_BEST},
-j as materialized (select d.doc_id, best.row_idx, {_SIDES}, coalesce(sn.s, 0) as name_s, coalesce(sa.s, 0) as addr_s
- from d join best using (doc_id) join dk using (doc_id) left join m using (row_idx) left join mk using (row_idx)
- left join sn on sn.a = dk.n and sn.b = mk.n left join sa on sa.a = dk.a and sa.b = mk.a),
+_OWN_PAIRS = f"""{_BASE}, own as (select doc_id, cast(substring(doc_id, 2) as bigint) as row_idx from d),
+j0 as (select d.doc_id, m.row_idx, {_SIDES} from own join d using (doc_id) join m on m.row_idx = own.row_idx)"""
+_OWN = f"""{_OWN_PAIRS}, {pair_scores('own', 'n', 'xn')}, {pair_scores('own', 'a', 'xa')},
+j as materialized (select j0.*, coalesce(xn.s, 0) as name_s, coalesce(xa.s, 0) as addr_s
+ from j0 left join xn using (doc_id, row_idx) left join xa using (doc_id, row_idx))"""
+_MATCHED = f"""{_BEST}, won as (select doc_id, row_idx from best where row_idx is not null),
+{pair_scores('won', 'n', 'xn')}, {pair_scores('won', 'a', 'xa')},
+j as materialized (select d.doc_id, best.row_idx, {_SIDES}, coalesce(xn.s, 0) as name_s, coalesce(xa.s, 0) as addr_s
+ from d join best using (doc_id) left join m on m.row_idx = best.row_idx
+ left join xn on xn.doc_id = d.doc_id left join xa on xa.doc_id = d.doc_id),
 cells as materialized ({_cells(True)})"""
 ORACLE["compare_fields"] = f"with {_OWN} {_cells(True)}"
-ORACLE["compare_fields_plain"] = f"with {_OWN}, cells as ({_cells(False)}) select doc_id, position, field_name, match_status, notes from cells"
+ORACLE["compare_fields_plain"] = f"with {_OWN_PAIRS}, j as (select * from j0), cells as ({_cells(False)}) select doc_id, position, field_name, match_status, notes from cells"
 
 _DEMO = ", ".join(f"{lit(DEMO_DOCUMENT[f])} as d_{f}, m.{f} as m_{f}" for f in _FIELDS)
 ORACLE["all_rows"] = f"""
@@ -437,6 +455,9 @@ _SUMMARY_SELECT = """select doc_id, row_idx as matched_row_index, row_idx + 1 as
  case when match_percentage = 100 then 'VERIFIED' when match_percentage >= 70 then 'PARTIAL MATCH' else 'MISMATCH' end as report_status
  from sums join best using (doc_id)"""
 ORACLE["crosscheck_summary"] = f"with {_MATCHED}, {_SUMMARY} {_SUMMARY_SELECT}"
+_FLAT = ORACLE["extract_flat"].removeprefix(f"with {_extracted()} ")
+_FROM_PAGES = _MATCHED.replace(f"d as materialized ({bills.DOCUMENT_SQL})", f"{_extracted()}, d as materialized ({_FLAT})")
+ORACLE["crosscheck_from_pages"] = f"with {_FROM_PAGES}, {_SUMMARY} {_SUMMARY_SELECT}"
 ORACLE["crosscheck_errors"] = f"""
 with {_MATCHED} select doc_id, cast(row_number() over (partition by doc_id order by position) as int) as error_number, field_name, pdf_value, excel_value, notes
 from cells where match_status = 'MISMATCH'"""
