@@ -160,5 +160,8 @@ def check_rules(
 
 
 def long_flags(checked: DataFrame, keys: list[str], column: str = "anomaly_flags") -> DataFrame:
-    """One row per flag."""
-    return checked.select(*keys, F.inline(column))
+    """One row per flag.
+
+    The outer form keeps Spark from deriving a filter that evaluates the rules twice.
+    """
+    return checked.select(*keys, F.inline_outer(column)).filter(F.col("field").isNotNull())

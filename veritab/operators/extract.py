@@ -173,7 +173,7 @@ def extract(
 
 def long_fields(extracted: DataFrame) -> DataFrame:
     """(doc_id, field, value, confidence, page, pattern): one row per found field."""
-    return extracted.select("doc_id", F.inline("fields"))
+    return extracted.select("doc_id", F.inline_outer("fields")).filter(F.col("field").isNotNull())
 
 
 def flat_fields(extracted: DataFrame, fields: list[str] | None = None) -> DataFrame:

@@ -46,7 +46,7 @@ def select_ranks(values: DataFrame, keys: Sequence[str], value: str, bracketed:
     joined = values.join(bracketed, keys)
     v = F.col(value)
     hits = F.filter("brackets", lambda b: v <= b["hi"])
-    slots = joined.select(*keys, "n", v.alias("_v"), F.explode(hits).alias("_b")).select(
+    slots = joined.select(*keys, "n", v.alias("_v"), F.explode_outer(hits).alias("_b")).filter(F.col("_b").isNotNull()).select(
         *keys,
         "n",
         F.col("_b.q").alias("q"),

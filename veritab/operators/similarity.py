@@ -25,7 +25,8 @@ def _pair_grams(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFr
         ),
     )
     return (
-        sides.select(*keys, "side", F.explode(F.expr(G.grams("text"))).alias("gram"))
+        sides.select(*keys, "side", F.explode_outer(F.expr(G.grams("text"))).alias("gram"))
+        .filter(F.col("gram").isNotNull())
         .groupBy(*keys, "gram")
         .agg(F.count_if(F.col("side") == 0).alias("ta"), F.count_if(F.col("side") == 1).alias("tb"))
     )
@@ -100,7 +101,8 @@ def best_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
         )
     )
     sizes = candidates.groupBy("query_id").agg((F.count(F.lit(1)) + 1).alias("texts"))
-    tf = texts.select("query_id", "idx", F.inline(F.expr(G.gram_counts("text"))))
+    tf = texts.select("query_id", "idx", F.inline_outer(F.expr(G.gram_counts("text"))))
+    tf = tf.filter(F.col("gram").isNotNull())
     stats = (
         tf.groupBy("query_id", "gram")
         .agg(F.count(F.lit(1)).alias("df"), F.max(F.when(F.col("idx").isNull(), F.col("t"))).alias("tq"))
