@@ -576,8 +576,10 @@ def all_rows(spark, folder):
     return done.select("row_idx", "row_number", "match_count", "match_percentage")
 
 
+@lru_cache(maxsize=2)
 def _checked(spark, folder):
-    return cc.crosscheck(bills.documents(spark, folder), bills.master(spark, folder))
+    """The checked documents, written once for the reports that read them."""
+    return durable(cc.crosscheck(bills.documents(spark, folder), bills.master(spark, folder)))
 
 
 @query
@@ -682,8 +684,7 @@ def confidence_train(spark, folder):
 
 @query
 def confidence_score(spark, folder):
-    model = ConfidenceModel.trained_on_synthetic(spark)
-    done = cc.crosscheck(bills.documents(spark, folder), bills.master(spark, folder), model=model)
+    done = ConfidenceModel.trained_on_synthetic(spark).score(_checked(spark, folder), where="matched_row_index is not null")
     return done.select("doc_id", "confidence_score", "prediction", "risk_level", F.to_json("feature_contributions").alias("contributions"))
 
 
