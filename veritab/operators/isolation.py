@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -54,7 +55,7 @@ def mean_path(n: float) -> float:
 
 
 def _grow(columns: Sequence[str], limit: int, seed: int):
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         rng = np.random.default_rng([seed, tree])
         values = pdf.sort_values("_u")[list(columns)].to_numpy()
