@@ -62,7 +62,7 @@ def describe(df: DataFrame) -> DataFrame:
         )
     ).filter(F.col("_value").isNotNull())
     # One row per numeric column of the schema: small by construction.
-    ranks = Q.interpolated(Q.select_ranks(values, ["col"], "_value", F.broadcast(bracketed)), "_value")
+    ranks = Q.interpolated(Q.select_ranks(values, ["col"], "_value", F.broadcast(bracketed), _QUARTILES), "_value")
     quartile = ranks.select(
         "col",
         (F.lit(4) + F.array_position(F.array(*(F.lit(q) for q in _QUARTILES)), F.col("q")).cast("int") - 1).alias("pos"),

@@ -8,6 +8,8 @@ parts in ten thousand of the group, are sorted. Everything else is counted.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,46 +26,51 @@ def bracket_points(value: Column, quantiles: Sequence[float]) -> Column:
 
 
 def brackets(quantiles: Sequence[float], n: Column, low: Column, high: Column, points: Column) -> Column:
-    """Array of struct(q, lo, hi) certain to hold the wanted ranks."""
+    """Array of struct(lo, hi), one per quantile, certain to hold the wanted ranks."""
 
-    def one(i: int, q: float) -> Column:
+    def one(i: int) -> Column:
         small = n <= 2 * ACCURACY  # a rank or two of slack would exceed the margin
         return F.struct(
-            F.lit(float(q)).alias("q"),
             F.when(small, low).otherwise(points[2 * i]).alias("lo"),
             F.when(small, high).otherwise(points[2 * i + 1]).alias("hi"),
         )
 
-    return F.array(*(one(i, q) for i, q in enumerate(quantiles)))
+    return F.array(*(one(i) for i in range(len(quantiles))))
 
 
-def select_ranks(values: DataFrame, keys: Sequence[str], value: str, bracketed: DataFrame) -> DataFrame:
+def select_ranks(
+    values: DataFrame, keys: Sequence[str], value: str, bracketed: DataFrame, quantiles: Sequence[float]
+) -> DataFrame:
     """(keys, q, n, lower, upper): the values at ranks floor and ceil of q (n - 1).
 
-    ``bracketed`` holds keys, n and the array ``brackets``, one row per group.
+    ``bracketed`` holds keys, n and the array ``brackets``, one row per group. Values between
+    brackets are only counted, by zone; those inside keep their value as slot.
     """
     keys = list(keys)
     joined = values.join(bracketed, keys)
     v = F.col(value)
-    hits = F.filter("brackets", lambda b: v <= b["hi"])
-    slots = joined.select(*keys, "n", v.alias("_v"), F.explode_outer(hits).alias("_b")).filter(F.col("_b").isNotNull()).select(
-        *keys,
-        "n",
-        F.col("_b.q").alias("q"),
-        F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_slot"),
-    )
-    counted = slots.groupBy(*keys, "n", "q", "_slot").agg(F.count(F.lit(1)).alias("_c"))
+    bounds = [(F.col("brackets")[i]["lo"], F.col("brackets")[i]["hi"]) for i in range(len(quantiles))]
+    zone = sum(((v >= lo).cast("int") + (v > hi).cast("int") for lo, hi in bounds), F.lit(0))
+    inside = reduce(or_, ((v >= lo) & (v <= hi) for lo, hi in bounds))
+    slots = joined.select(*keys, "n", zone.alias("_zone"), F.when(inside, v).alias("_slot"))
+    counted = slots.groupBy(*keys, "n", "_zone", "_slot").agg(F.count(F.lit(1)).alias("_c"))
     upto = (
-        Window.partitionBy(*keys, "n", "q")
-        .orderBy(F.col("_slot").asc_nulls_first())
+        Window.partitionBy(*keys, "n")
+        .orderBy("_zone", F.col("_slot").asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     ranked = counted.withColumn("_cum", F.sum("_c").over(upto))
-    position = F.col("q") * (F.col("n") - 1)
-    return ranked.groupBy(*keys, "n", "q").agg(
-        F.min(F.when(F.col("_cum") > F.floor(position), F.col("_slot"))).alias("lower"),
-        F.min(F.when(F.col("_cum") > F.ceil(position), F.col("_slot"))).alias("upper"),
-    )
+
+    def at(q: float) -> Column:
+        position = F.lit(float(q)) * (F.col("n") - 1)
+        return F.struct(
+            F.lit(float(q)).alias("q"),
+            F.min(F.when(F.col("_cum") > F.floor(position), F.col("_slot"))).alias("lower"),
+            F.min(F.when(F.col("_cum") > F.ceil(position), F.col("_slot"))).alias("upper"),
+        )
+
+    picked = ranked.groupBy(*keys, "n").agg(*(at(q).alias(f"_q{i}") for i, q in enumerate(quantiles)))
+    return picked.select(*keys, "n", F.inline(F.array(*(f"_q{i}" for i in range(len(quantiles))))))
 
 
 def interpolated(result: DataFrame, name: str = "value") -> DataFrame:
@@ -98,7 +105,7 @@ def group_ranks(
     )
     if only:
         bracketed = F.broadcast(bracketed)  # one row
-    result = select_ranks(values, keys, "_value", bracketed)
+    result = select_ranks(values, keys, "_value", bracketed, quantiles)
     return result.drop("_all") if only else result
 
 
