@@ -199,15 +199,21 @@ def extraction_summary(extracted: DataFrame, fields: list[str] | None = None) ->
 
 
 def extraction_coverage(extracted: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """Documents with and without each field, over a whole collection."""
+    """Documents with and without each field, over a whole collection; one pass."""
     names = list(fields or PATTERNS)
-    total = extracted.agg(F.count(F.lit(1))).scalar()
-    found = long_fields(extracted).groupBy("field").agg(F.count(F.lit(1)).alias("_n"))
-    every = extracted.sparkSession.createDataFrame([(n,) for n in names], "field string")
-    n = F.coalesce("_n", F.lit(0))
-    return every.join(found, "field", "left").select(
-        "field", n.alias("documents_found"), (total - n).alias("documents_missing")
+    has = {n: F.expr(f"exists(fields, x -> x.field = '{n}')") for n in names}
+    counts = extracted.agg(
+        F.count(F.lit(1)).alias("_all"), *(F.count_if(test).alias(f"_{i}") for i, test in enumerate(has.values()))
     )
+    rows = (
+        F.struct(
+            F.lit(n).alias("field"),
+            F.col(f"_{i}").alias("documents_found"),
+            (F.col("_all") - F.col(f"_{i}")).alias("documents_missing"),
+        )
+        for i, n in enumerate(names)
+    )
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def extract_page_fields(pages: DataFrame, patterns: dict[str, list[str]] | None = None) -> DataFrame:
