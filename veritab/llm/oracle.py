@@ -4,6 +4,20 @@ from __future__ import annotations
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+ODDS = "ln(prior / (1 - prior)) + " + " + ".join(
+    f"CASE v[{j}] WHEN 1 THEN ln(good[{j}] / (1 - bad[{j}])) WHEN -1 THEN ln((1 - good[{j}]) / bad[{j}]) ELSE 0 END"
+    for j in range(1, 8)
+)
+
+
+def _accuracies(vote: int, of_class: str) -> str:
+    return ", ".join(
+        f"(sum(n * CASE WHEN v[{j}] = {vote} THEN {of_class} ELSE 0 END) + 2)"
+        f" / (sum(n * CASE WHEN v[{j}] = 0 THEN 0 ELSE {of_class} END) + 4)"
+        for j in range(1, 8)
+    )
+
+
 OP1 = rf"""
 WITH RECURSIVE split AS (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents
@@ -24,7 +38,7 @@ WITH RECURSIVE split AS (
         coalesce(n, 0)::BIGINT AS n_repeat_words,
         len(l)::BIGINT AS n_lines,
         length(regexp_replace(text, '\P{{Lu}}', '', 'g'))::BIGINT AS n_capitals,
-        length(regexp_replace(text, '[^!]', '', 'g'))::BIGINT AS n_exclamations
+        length(regexp_replace(text, '\P{{L}}', '', 'g'))::BIGINT AS n_letters
     FROM split JOIN lines USING (r) LEFT JOIN covered USING (r)
 ), voted AS (
     SELECT *, [
@@ -38,31 +52,20 @@ WITH RECURSIVE split AS (
              WHEN word_chars > 0 AND 10 * n_capitals <= word_chars THEN 1 ELSE 0 END,
         CASE WHEN word_chars > 8 * n_words THEN -1
              WHEN n_words > 0 AND word_chars >= 3 * n_words AND 10 * word_chars <= 65 * n_words THEN 1 ELSE 0 END,
-        CASE WHEN 5 * n_exclamations > n_words THEN -1
-             WHEN n_words > 0 AND 50 * n_exclamations <= n_words THEN 1 ELSE 0 END
+        CASE WHEN 100 * n_letters < 87 * word_chars THEN -1
+             WHEN word_chars > 0 AND 100 * n_letters >= 92 * word_chars THEN 1 ELSE 0 END
     ] AS v FROM facts
 ), patterns AS (
     SELECT v, count(*)::DOUBLE AS n FROM voted GROUP BY v
 ), em AS (
-    SELECT 0 AS step, 0.7::DOUBLE AS prior, [0.8, 0.8, 0.8, 0.8, 0.8, 0.8, 0.8]::DOUBLE[] AS acc
+    SELECT 0 AS step, 0.7::DOUBLE AS prior, [0.95, 0.95, 0.95, 0.95, 0.95, 0.95, 0.95]::DOUBLE[] AS good,
+        [0.4, 0.4, 0.4, 0.4, 0.4, 0.4, 0.4]::DOUBLE[] AS bad
     UNION ALL
-    SELECT step + 1, (sum(n * q) + 1) / (sum(n) + 2),
-        [{", ".join(
-            f"(sum(n * CASE v[{j}] WHEN 1 THEN q WHEN -1 THEN 1 - q ELSE 0 END) + 2)"
-            f" / (sum(CASE WHEN v[{j}] = 0 THEN 0 ELSE n END) + 4)"
-            for j in range(1, 8)
-        )}]
-    FROM (
-        SELECT step, v, n, 1 / (1 + exp(-(ln(prior / (1 - prior)) + {" + ".join(
-            f"v[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in range(1, 8)
-        )}))) AS q
-        FROM em, patterns WHERE step < 20
-    ) GROUP BY step
+    SELECT step + 1, (sum(n * q) + 1) / (sum(n) + 2), [{_accuracies(1, "q")}], [{_accuracies(-1, "(1 - q)")}]
+    FROM (SELECT step, v, n, 1 / (1 + exp(-({ODDS}))) AS q FROM em, patterns WHERE step < 20)
+    GROUP BY step
 ), quality AS (
-    SELECT v, 1 / (1 + exp(-(ln(prior / (1 - prior)) + {" + ".join(
-        f"v[{j}] * ln(acc[{j}] / (1 - acc[{j}]))" for j in range(1, 8)
-    )}))) AS q
-    FROM em, patterns WHERE step = 20
+    SELECT v, 1 / (1 + exp(-({ODDS}))) AS q FROM em, patterns WHERE step = 20
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,

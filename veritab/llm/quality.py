@@ -3,8 +3,9 @@
 Each rule votes good (1), bad (-1) or abstains (0). The votes of a document form a pattern; there are at most
 3 ** len(RULES) patterns, whatever the input, so documents are reduced to pattern counts in one aggregation and
 expectation-maximisation runs on that bounded table, inside one expression. The model: a document is good with
-probability ``prior``; rule j, if it votes, is right with probability ``accuracy_j``, independently. All of it is
-column expressions.
+probability ``prior``; rule j, if it votes, is right about a good document with probability ``good_j`` and about a
+bad one with probability ``bad_j``, independently. Two accuracies per rule, because junk of one kind trips the rule
+made for it and passes the others. All of it is column expressions.
 
 Defined cases: a null text counts as the empty text. A document without words gets votes from the length rule
 only. An empty table gives no rows. Repeated rows are judged alike, each on its own. Input columns other than the
@@ -21,7 +22,9 @@ from veritab.session import durable
 
 ITERATIONS = 20
 START_PRIOR = 0.7
-START_ACCURACY = 0.8
+#: Accuracy of a vote to start from, on good and on bad documents.
+START_GOOD = 0.95
+START_BAD = 0.4
 #: Pseudo-votes, right and wrong alike, that keep an accuracy off 0 and 1.
 SMOOTHING = 2.0
 LOWEST_QUALITY = 0.5
@@ -51,8 +54,9 @@ RULES = {
         (10 * c["word_chars"] >= 30 * c["n_words"]) & (10 * c["word_chars"] <= 65 * c["n_words"]) & (c["n_words"] > 0),
         10 * c["word_chars"] > 80 * c["n_words"],
     ),
-    "exclamations": lambda c: _vote(
-        (c["n_words"] > 0) & (50 * c["n_exclamations"] <= c["n_words"]), 5 * c["n_exclamations"] > c["n_words"]
+    "letters": lambda c: _vote(
+        (c["word_chars"] > 0) & (100 * c["n_letters"] >= 92 * c["word_chars"]),
+        100 * c["n_letters"] < 87 * c["word_chars"],
     ),
 }
 
@@ -107,7 +111,7 @@ def measured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         (F.length(t) - _removed(t, WHITE_SPACE)).cast("long").alias("word_chars"),
         _removed(t, r"[#*$%&|<>]").cast("long").alias("n_symbols"),
         F.length(F.regexp_replace(t, r"\P{Lu}+", "")).cast("long").alias("n_capitals"),
-        (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_exclamations"),
+        F.length(F.regexp_replace(t, r"\P{L}+", "")).cast("long").alias("n_letters"),
     ).select(
         *keep,
         F.col("_words.n").alias("n_words"),
@@ -117,7 +121,7 @@ def measured(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
         F.col("_words.r").alias("n_repeat_words"),
         F.col("_lines.n").cast("long").alias("n_lines"),
         "n_capitals",
-        "n_exclamations",
+        "n_letters",
     )
 
 
@@ -130,12 +134,14 @@ def _log_odds(p: Column) -> Column:
 
 
 def _posterior(state: Column, pattern: Column) -> Column:
-    odds = F.aggregate(
-        F.zip_with(pattern, state["accuracy"], lambda v, a: v * _log_odds(a)),
-        _log_odds(state["prior"]),
-        lambda total, x: total + x,
+    weight = F.zip_with(
+        pattern,
+        F.arrays_zip(state["good"], state["bad"]),
+        lambda v, a: F.when(v == 1, F.log(a["good"] / (1 - a["bad"])))
+        .when(v == -1, F.log((1 - a["good"]) / a["bad"]))
+        .otherwise(0.0),
     )
-    return 1 / (1 + F.exp(-odds))
+    return 1 / (1 + F.exp(-F.aggregate(weight, _log_odds(state["prior"]), lambda total, x: total + x)))
 
 
 def label_model(patterns: DataFrame) -> DataFrame:
@@ -152,24 +158,28 @@ def label_model(patterns: DataFrame) -> DataFrame:
         )
 
         def updated(rows: Column) -> Column:
-            def accuracy(j: Column) -> Column:
-                vote = lambda x: F.get(x["v"], j)
-                right = total(
-                    rows,
-                    lambda x: x["n"] * F.when(vote(x) == 1, x["q"]).when(vote(x) == -1, 1 - x["q"]).otherwise(0.0),
-                )
-                cast = total(rows, lambda x: F.when(vote(x) == 0, F.lit(0.0)).otherwise(x["n"].cast("double")))
-                return (right + SMOOTHING) / (cast + 2 * SMOOTHING)
+            def accuracy(vote: int, of_class) -> Column:
+                def of_rule(j: Column) -> Column:
+                    hit = lambda x: F.get(x["v"], j)
+                    right = total(rows, lambda x: x["n"] * F.when(hit(x) == vote, of_class(x)).otherwise(0.0))
+                    cast = total(rows, lambda x: x["n"] * F.when(hit(x) == 0, 0.0).otherwise(of_class(x)))
+                    return (right + SMOOTHING) / (cast + 2 * SMOOTHING)
+
+                return F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), of_rule)
 
             prior = (total(rows, lambda x: x["n"] * x["q"]) + 1) / (total(rows, lambda x: x["n"].cast("double")) + 2)
             return F.struct(
-                prior.alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(rules - 1)), accuracy).alias("accuracy")
+                prior.alias("prior"),
+                accuracy(1, lambda x: x["q"]).alias("good"),
+                accuracy(-1, lambda x: 1 - x["q"]).alias("bad"),
             )
 
         return let(judged, updated)
 
     start = F.struct(
-        F.lit(START_PRIOR).alias("prior"), F.array(*[F.lit(START_ACCURACY)] * rules).alias("accuracy")
+        F.lit(START_PRIOR).alias("prior"),
+        F.array(*[F.lit(START_GOOD)] * rules).alias("good"),
+        F.array(*[F.lit(START_BAD)] * rules).alias("bad"),
     )
     fitted = lambda t: F.aggregate(
         F.sequence(F.lit(1), F.lit(ITERATIONS)), start, lambda state, _: step(t, state)
