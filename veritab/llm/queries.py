@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import mixing, quality
+from veritab.llm import language, maintext, mixing, neardup, pieces, quality, urlrules
 
 #: Words below which a document fails the base rule.
 FEWEST_WORDS = 50
@@ -33,6 +33,14 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _read(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.train(documents.where(~held_out))
+    told = language.identify(documents.select("doc_id", "text"), model)
+    return told.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.allocate(_read(spark, folder, "documents"))
     return mixed.select(
@@ -40,7 +48,49 @@ def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.groups(_read(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+
+
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _read(spark, folder, "documents").select("doc_id", "text")
+    decoded = pieces.decode(pieces.encode(documents))
+    return decoded.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"),
+    )
+
+
+#: The rules of the URL filter: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _read(spark, folder, "pages").select("page_id", "url")
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return urlrules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _read(spark, folder, "pages").select("page_id", "url", "html")
+    text = maintext.main_text(pages, maintext.train(pages))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_source_mixing": op3_source_mixing,
+    "op4_minhash_neardup": op4_minhash_neardup,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op7_url_filters": op7_url_filters,
+    "op8_html_extraction": op8_html_extraction,
 }
