@@ -10,8 +10,8 @@ Training is expectation-maximisation on word counts of a bounded sample of label
 expected piece counts of a step are computed in tasks and summed by Spark; the driver sees at most one number per
 piece and language. Only text and language of training rows are read.
 
-Words are runs of letters, lower-cased, with a word mark in front; runs of over 64 letters are scored as
-consecutive runs of 64. A letter that the vocabulary lacks costs the same in every language.
+Words are runs of letters, lower-cased, with a word mark in front. A letter that the vocabulary lacks costs the same
+in every language.
 
 Defined cases: null text, empty text and text without a letter give ``und`` and score 0. Ties go to the first
 language in code point order. Without a labelled row every text gives ``und``. Repeated rows are judged alike;
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veritab.llm.columns import fresh_name
+from veritab.llm.lattice import Trie, backward, forward
 from veritab.llm.vocabulary import SPACE, VOCABULARY, bound_batches, load
 from veritab.session import durable
 
@@ -38,10 +39,9 @@ STEPS = 4
 UNDETERMINED = "und"
 #: Added to each expected piece count.
 SMOOTHING = 0.1
-LONGEST_RUN = 64
-#: Each letter's probability is multiplied by this, so that products over 64 letters stay in a double's range.
-PER_LETTER = 64.0
 UNKNOWN_LETTER = 1e-6
+#: Words whose lattices are held at once.
+AT_ONCE = 4096
 #: Scored words that a worker keeps before it starts anew.
 KEPT_WORDS = 300_000
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -49,94 +49,57 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 @dataclass
 class Model:
-    """rows[of[piece]] has the piece's probability in each language, scaled by PER_LETTER; rows[0] is zero."""
+    """weights[row, language]: log-probability of the trie's pieces by their rows, the last row of any other letter."""
 
     languages: list[str]
-    of: dict[str, int]
-    rows: np.ndarray
-    longest: int
-    name: str = field(default="")
-
-
-def _row(model: Model, part: str) -> int:
-    """The row of a piece; single letters that aren't pieces share the last row."""
-    found = model.of.get(part, 0)
-    return found or (len(model.rows) - 1 if len(part) == 1 else 0)
-
-
-def lattice(model: Model, words: list[str]) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, end, rows) of the pieces of words of one length, ends ascending."""
-    for j in range(1, len(words[0]) + 1):
-        for i in range(max(0, j - model.longest), j):
-            rows = np.fromiter((_row(model, w[i:j]) for w in words), np.int64, len(words))
-            if rows.any():
-                yield i, j, rows
-
-
-def forward(model: Model, words: list[str], edges: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
-    """alpha[j, word, language]: summed probability of all segmentations of the first j characters."""
-    alpha = np.zeros((len(words[0]) + 1, len(words), model.rows.shape[1]))
-    alpha[0] = 1.0
-    for i, j, rows in edges:
-        alpha[j] += alpha[i] * model.rows[rows]
-    return alpha
+    trie: Trie
+    weights: np.ndarray
 
 
 def expected(model: Model, words: list[str], counts: np.ndarray) -> np.ndarray:
-    """Expected uses of each row of the model, by language, in words of one length that occur ``counts`` times."""
-    edges = list(lattice(model, words))
-    alpha = forward(model, words, edges)
-    beta = np.zeros_like(alpha)
-    beta[-1] = counts / alpha[-1]
-    uses = np.zeros_like(model.rows)
-    for i, j, rows in reversed(edges):
-        out = model.rows[rows] * beta[j]
-        np.add.at(uses, rows, alpha[i] * out)
-        beta[i] += out
-    return uses
+    """Expected uses of each row of the model, by language, in words that occur ``counts`` times (by language)."""
+    x = model.trie.lattice(words)
+    alpha, beta = forward(x, model.weights), backward(x, model.weights)
+    total = alpha[x.first + x.lengths]
+    cells = np.repeat(np.arange(len(words)), x.lengths + 1)[x.begin]
+    share = np.exp(alpha[x.begin] + model.weights[x.row] + beta[x.end] - total[cells]) * counts[cells]
+    return np.stack([np.bincount(x.row, share[:, k], len(model.weights)) for k in range(share.shape[1])], axis=1)
 
 
 def runs(token: str) -> list[str]:
     """The marked letter runs of a token that hold a letter."""
-    return [
-        SPACE + run[k : k + LONGEST_RUN]
-        for run in LETTERS.findall(token)
-        if any(c.isalpha() for c in run)
-        for k in range(0, len(run), LONGEST_RUN)
-    ]
+    return [SPACE + run for run in LETTERS.findall(token) if any(c.isalpha() for c in run)]
 
 
 def log_likelihoods(model: Model, words: list[str]) -> np.ndarray:
-    """Natural log of each word's probability, by language; words of any lengths."""
+    """Natural log of each word's probability, by language."""
     out = np.empty((len(words), len(model.languages)))
-    by_length: dict[int, list[int]] = {}
-    for k, w in enumerate(words):
-        by_length.setdefault(len(w), []).append(k)
-    for n, at in by_length.items():
-        same = [words[k] for k in at]
-        out[at] = np.log(forward(model, same, list(lattice(model, same)))[-1]) - n * np.log(PER_LETTER)
+    by_length = sorted(range(len(words)), key=lambda k: len(words[k]))
+    for c in range(0, len(words), AT_ONCE):
+        at = by_length[c : c + AT_ONCE]
+        x = model.trie.lattice([words[k] for k in at])
+        out[at] = forward(x, model.weights)[x.first + x.lengths]
     return out
 
 
+def _weighted(uses: np.ndarray) -> np.ndarray:
+    """Log-probabilities from the (expected) uses of the pieces; row 0 stands for nothing."""
+    shares = np.full((len(uses), uses.shape[1]), UNKNOWN_LETTER)
+    shares[1:-1] = uses[1:-1] / uses[1:-1].sum(0)
+    shares[0] = 1e-300
+    return np.log(shares)
+
+
 def _start(vocabulary_path: str, languages: list[str]) -> Model:
     """Every language alike: a piece's share falls with its place in the vocabulary."""
-    vocabulary = load(vocabulary_path)
     usable = {}
-    for rank, piece in enumerate(vocabulary.pieces):
+    for rank, piece in enumerate(load(vocabulary_path).pieces):
         letters = piece.removeprefix(SPACE)
         if piece and piece == piece.lower() and (letters == "" or LETTERS.fullmatch(letters)) and piece not in usable:
             usable[piece] = 1.0 / (rank + 100)
-    share = np.array(list(usable.values()))
-    rows = np.zeros((len(usable) + 2, len(languages)))
-    rows[1:-1] = (share / share.sum())[:, None]
-    return _scaled(Model(languages, {p: k + 1 for k, p in enumerate(usable)}, rows, max(map(len, usable))))
-
-
-def _scaled(model: Model) -> Model:
-    lengths = np.array([0, *map(len, model.of), 1])
-    model.rows = model.rows * PER_LETTER ** lengths[:, None]
-    model.rows[-1] = UNKNOWN_LETTER * PER_LETTER
-    return model
+    uses = np.ones((len(usable) + 2, len(languages)))
+    uses[1:-1] = np.array(list(usable.values()))[:, None]
+    return Model(languages, Trie(usable), _weighted(uses))
 
 
 def training_counts(
@@ -157,7 +120,7 @@ def training_counts(
         .join(F.broadcast(picked), ["_k", "_l"], "left_semi")  # per_language rows a language at most
         .dropDuplicates(["_k", "_l"])
     )
-    run = F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}{1,64}"), F.lit(0)))
+    run = F.explode(F.regexp_extract_all(F.lower("_t"), F.lit(r"\p{L}+"), F.lit(0)))
     counts = durable(
         sample.select(F.col("_l").alias("lang"), run.alias("word"))
         .groupBy("lang", "word")
@@ -187,13 +150,12 @@ def train(
         def step(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             model = shared.value
             place = {name: k for k, name in enumerate(model.languages)}
-            uses = np.zeros_like(model.rows)
+            uses = np.zeros_like(model.weights)
             for batch in batches:
-                word = SPACE + batch["word"]
-                for _, same in batch.groupby(word.str.len(), sort=True):
-                    counts = np.zeros((len(same), len(place)))
-                    counts[np.arange(len(same)), same["lang"].map(place)] = same["n"]
-                    uses += expected(model, [SPACE + w for w in same["word"]], counts)
+                counts = np.zeros((len(batch), len(place)))
+                counts[np.arange(len(batch)), batch["lang"].map(place)] = batch["n"]
+                for c in range(0, len(batch), AT_ONCE):
+                    uses += expected(model, [SPACE + w for w in batch["word"][c : c + AT_ONCE]], counts[c : c + AT_ONCE])
             row, language = np.nonzero(uses)
             yield pd.DataFrame({"row": row, "language": language, "uses": uses[row, language]})
 
@@ -203,10 +165,9 @@ def train(
             .agg(F.sum("uses").alias("uses"))
             .toPandas()  # pieces x languages at most
         )
-        rows = np.full_like(model.rows, SMOOTHING)
-        rows[0] = 0.0
-        np.add.at(rows, (summed["row"], summed["language"]), summed["uses"])
-        model = _scaled(Model(languages, model.of, rows / rows.sum(0), model.longest))
+        uses = np.full_like(model.weights, SMOOTHING)
+        np.add.at(uses, (summed["row"], summed["language"]), summed["uses"])
+        model = Model(languages, model.trie, _weighted(uses))
         shared.unpersist()
     return model
 
@@ -268,6 +229,7 @@ class Scorer:
         return names, scores
 
 
+#: The worker's scorer, which outlives a task.
 _SCORERS: dict[str, Scorer] = {}
 
 
@@ -279,11 +241,9 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        key = str(shared.value.name or id(shared.value))
-        scorer = _SCORERS.get(key)
+        scorer = _SCORERS.get("last")
         if scorer is None or scorer.model is not shared.value:
-            _SCORERS.clear()
-            scorer = _SCORERS[key] = Scorer(shared.value)
+            scorer = _SCORERS["last"] = Scorer(shared.value)
         for batch in batches:
             names, scores = scorer.predict(batch.where(batch.notna(), None).tolist())
             yield pd.DataFrame({"lang": names, "score": scores})

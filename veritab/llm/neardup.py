@@ -3,9 +3,10 @@
 1. Sketch: each row's set of word shingles is hashed to 64 bits. A register keeps the smallest of the exponential
    hashes of the set, truncated to a grid of powers of BASE: such minima merge by maximum of the register and agree
    between two sets with a probability close to their Jaccard similarity. Rows with equal sets become one node.
-2. Bands: BANDS groups of ROWS registers are hashed. Nodes that share a band's value are joined to one node of that
+2. Bands: groups of registers are hashed. Nodes that share a band's value are joined to one node of that
    bucket, never to each other; the components of these edges are clusters. Two sets at the threshold share a band
-   with probability 1 - (1 - 0.85 ** 6) ** 32 = 1 - 3e-7, unrelated ones hardly ever, so clusters stay small.
+   with probability 1 - (1 - 0.85 ** 6) ** 32 = 1 - 3e-7 (other thresholds get bands of a length that misses no
+   more than one in a million), unrelated ones hardly ever, so clusters stay small.
 3. Verify: a cluster is dealt out in blocks of bounded size, each with the cluster's hub (the node with most bucket
    mates). In a block, pairs in different components are estimated jointly by the likelihood of their registers;
    those within reach of the threshold are compared on their full sets, and links merge components. So copies of one
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.llm.columns import fresh_name
@@ -39,8 +40,9 @@ from veritab.session import durable
 
 SHINGLE = 3
 PERCENT = 85
-BANDS, ROWS = 32, 6
-REGISTERS = BANDS * ROWS
+REGISTERS = 192
+#: Largest probability that two sets at the threshold share no band.
+MISSED = 1e-6
 #: SetSketch's base, rate and largest register.
 BASE, RATE, LARGEST = 1.001, 20.0, 2**16 - 1
 #: Nodes and shingles of one block, about.
@@ -52,7 +54,7 @@ KEPT_WORDS = 500_000
 _random = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _random.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _random.integers(0, 2**32, REGISTERS, dtype=np.uint32)
-PLACES = _random.integers(0, 2**63, max(SHINGLE, ROWS) + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PLACES = _random.integers(0, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -101,10 +103,17 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(exponential) / np.log(BASE)), 0, LARGEST).astype(np.uint16)
 
 
-def band_keys(r: np.ndarray) -> np.ndarray:
-    grouped = r.reshape(BANDS, ROWS).astype(np.uint64)
-    total = np.arange(BANDS, dtype=np.uint64)
-    for k in range(ROWS):
+def band_rows(percent: int) -> int:
+    """The longest bands with which two sets at the threshold are missed with a probability of MISSED at most."""
+    fit = [r for r in range(1, 33) if (1 - (percent / 100) ** r) ** (REGISTERS // r) <= MISSED]
+    return max(fit, default=1)
+
+
+def band_keys(r: np.ndarray, rows: int) -> np.ndarray:
+    bands = REGISTERS // rows
+    grouped = r[: bands * rows].reshape(bands, rows).astype(np.uint64)
+    total = np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
         total = _mixed(total * PLACES[-1] + grouped[:, k] + np.uint64(1))
     return total.view(np.int64)
 
@@ -169,10 +178,10 @@ def link_block(
     return forest
 
 
-def sketched(df: DataFrame, key: str, text: str, length: int = SHINGLE) -> DataFrame:
+def sketched(df: DataFrame, key: str, text: str, length: int, percent: int) -> DataFrame:
     """(key, n_shingles, d0, d1, bands) of each row; d0, d1: digest of its set, null for an empty one."""
     bound_batches(df.sparkSession)
-    kind = df.schema[key].dataType.simpleString()
+    kind, band = df.schema[key].dataType.simpleString(), band_rows(percent)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,7 +190,7 @@ def sketched(df: DataFrame, key: str, text: str, length: int = SHINGLE) -> DataF
                 s = shingles(t, length)
                 if len(s):
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    rows.append((len(s), int(d[0]), int(d[1]), band_keys(registers(s))))
+                    rows.append((len(s), int(d[0]), int(d[1]), band_keys(registers(s), band)))
                 else:
                     rows.append((0, None, None, None))
             yield pd.DataFrame({"key": batch["key"], **dict(zip(("n_shingles", "d0", "d1", "bands"), zip(*rows)))}).astype(
@@ -218,7 +227,7 @@ def groups(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row of ``df``."""
-    rows = durable(sketched(df, key, text, length))
+    rows = durable(sketched(df, key, text, length, percent))
     whole = rows.where("n_shingles > 0")
     nodes = durable(
         whole.groupBy("d0", "d1")
@@ -328,8 +337,6 @@ def deduplicate(
         .distinct()
     )
     named = df.join(kept, df[key] == kept[mark])
-    from pyspark.sql import Window
-
     one = named.withColumn(place, F.row_number().over(Window.partitionBy(mark).orderBy(F.xxhash64(text))))
     columns = [F.col(f"`{c}`") for c in df.columns]
     return one.where(F.col(place) == 1).select(*columns).union(df.where(df[key].isNull()).select(*columns))

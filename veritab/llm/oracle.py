@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from veritab.llm.licences import TEMPLATES
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ODDS = "ln(prior / (1 - prior)) + " + " + ".join(
@@ -99,4 +101,71 @@ SELECT doc_id, size, source_size, target,
 FROM rated
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op3_source_mixing": OP3}
+NOTICES = ", ".join(
+    "({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES)
+)
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MARKED = "(?i)licen[sc]|copyright|warrant|permission is hereby|redistribution|public domain"
+
+
+def _terms(text: str) -> str:
+    lowered = f"translate({text}, '{UPPER}', '{UPPER.lower()}')"
+    return f"list_filter(string_split_regex({lowered}, '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+OP9 = rf"""
+WITH files AS (
+    SELECT doc_id, coalesce(text, '') AS t, source || '/' || (doc_id // 1000) || '/' || CASE
+        WHEN doc_id % 1000 = 0 THEN 'LICENSE'
+        WHEN doc_id % 50 = 0 THEN (doc_id // 50) || '/LICENSE'
+        ELSE (doc_id // 50) || '/' || doc_id || '.txt' END AS path
+    FROM documents
+), named AS (
+    SELECT *, regexp_replace(path, '/?[^/]*$', '') AS folder, coalesce(path LIKE '%/LICENSE', false) AS is_licence
+    FROM files
+), units AS (
+    SELECT DISTINCT path, is_licence, unnest(list_concat(
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{MARKED}')),
+        CASE WHEN is_licence THEN [t] ELSE [] END)) AS unit
+    FROM named
+), notices AS (
+    SELECT * FROM (VALUES {NOTICES}) AS x(template, licence, notice)
+), notice_terms AS (
+    SELECT template, licence, term, count(*) AS n
+    FROM (SELECT template, licence, unnest({_terms("notice")}) AS term FROM notices) GROUP BY ALL
+), weights AS (
+    SELECT term, ln((1 + (SELECT count(*) FROM notices)) / (1 + count(*))::DOUBLE) + 1 AS weight
+    FROM notice_terms GROUP BY term
+), shares AS (
+    SELECT template, licence, term, n * weight / sqrt(sum(n * weight * n * weight) OVER (PARTITION BY template)) AS share
+    FROM notice_terms JOIN weights USING (term)
+), unit_terms AS (
+    SELECT unit, term, count(*) * coalesce(any_value(weight), ln(1 + (SELECT count(*) FROM notices)) + 1) AS value
+    FROM (SELECT unit, unnest({_terms("unit")}) AS term FROM (SELECT DISTINCT unit FROM units))
+    LEFT JOIN weights USING (term) GROUP BY unit, term
+), norms AS (
+    SELECT unit, sqrt(sum(value * value)) AS norm FROM unit_terms GROUP BY unit
+), scored AS (
+    SELECT unit, licence, round(sum(value * share) / any_value(norm), 6) AS cosine
+    FROM unit_terms JOIN shares USING (term) JOIN norms USING (unit) GROUP BY unit, template, licence
+), best AS (
+    SELECT unit, licence, cosine FROM scored WHERE cosine >= 0.7
+    QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, licence) = 1
+), of_file AS (
+    SELECT path, list_sort(list(DISTINCT licence)) AS own, max(cosine) AS cosine, bool_or(is_licence) AS is_licence
+    FROM units JOIN best USING (unit) GROUP BY path
+), given AS (
+    SELECT regexp_replace(path, '/?[^/]*$', '') AS above, own FROM of_file WHERE is_licence
+), nearest AS (
+    SELECT folder, above, own AS given
+    FROM (SELECT DISTINCT folder FROM named WHERE folder IS NOT NULL)
+    JOIN given ON folder = above OR starts_with(folder, above || '/') OR above = ''
+    QUALIFY row_number() OVER (PARTITION BY folder ORDER BY length(above) DESC) = 1
+)
+SELECT doc_id, path, array_to_string(own, ',') AS own, cosine, array_to_string(coalesce(own, given), ',') AS licences,
+    CASE WHEN own IS NULL THEN above END AS inherited_from
+FROM named LEFT JOIN (SELECT path AS p, own, cosine FROM of_file) ON path IS NOT DISTINCT FROM p
+LEFT JOIN nearest USING (folder)
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op3_source_mixing": OP3, "op9_license_scans": OP9}

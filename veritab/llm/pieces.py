@@ -30,13 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.columns import fresh_name
+from veritab.llm.lattice import Trie, forward
 from veritab.llm.vocabulary import SPACE, VOCABULARY, Vocabulary, bound_batches, load
 
 SHARPNESS = 1.0
 SEED = 1
 #: States (characters of distinct units) that a worker keeps before it starts anew.
 KEPT_STATES = 1_200_000
-SMALL = 1e-200
 #: Weight of a character written as bytes.
 IN_BYTES = 1e-9
 
@@ -49,6 +49,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Units(dict):
+    """Number of each unit; units not met before wait in ``new`` until their lattices are filtered."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = k = len(self)
+        self.new.append(unit)
+        return k
+
+
 class Sampler:
     """The filtered lattices of the units seen so far, as flat arrays.
 
@@ -59,15 +71,18 @@ class Sampler:
 
     def __init__(self, vocabulary: Vocabulary, sharpness: float = SHARPNESS) -> None:
         self.vocabulary, n = vocabulary, len(vocabulary.pieces)
-        self.longest = vocabulary.longest
-        self.weight: dict[str, tuple[int, float]] = {}
+        self.ids: dict[str, int] = {}
         for i, marked in enumerate(vocabulary.pieces):
-            piece = marked.replace(SPACE, " ")
-            if piece and piece not in self.weight:
-                self.weight[piece] = (i, (1.0 / (i + 100)) ** sharpness)
-        inner = {c for p in self.weight if len(p) > 1 for c in p}
-        if any(" " in p.lstrip(" ") for p in self.weight):
+            if marked:
+                self.ids.setdefault(marked.replace(SPACE, " "), i)
+        if any(" " in p.lstrip(" ") for p in self.ids):
             raise ValueError("a piece of this vocabulary spans words")
+        self.trie = Trie(self.ids)
+        self.id_of_row = np.array([-1, *self.ids.values(), -1])
+        self.weights = np.concatenate(
+            [[-np.inf], -sharpness * np.log(self.id_of_row[1:-1] + 100.0), [np.log(IN_BYTES)]]
+        )[:, None]
+        inner = {c for p in self.ids if len(p) > 1 for c in p}
         # Blanks and the characters after them that longer pieces can span, or one other character.
         self.units = re.compile(f" *[{''.join(map(re.escape, sorted(inner - {' '})))}]+| +|.", re.S)
         self.bytes_of: dict[str, int] = {}
@@ -76,11 +91,9 @@ class Sampler:
         self.clear()
 
     def clear(self) -> None:
-        self.end: dict[str, int] = {}
+        self.known = _Units()
         self.states = 0
-        self._top: list[float] = []
-        self._code: list[int] = []
-        self._before: list[int] = []
+        self.last = np.zeros(0, np.int64)
         self.top, self.code, self.before = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _in_bytes(self, char: str) -> int:
@@ -89,62 +102,54 @@ class Sampler:
             self.byte_codes.append(tuple(self.vocabulary.byte_ids[b] for b in char.encode()))
         return self.bytes_of[char]
 
-    def add(self, unit: str) -> int:
-        """The last state of a unit, whose lattice is filtered if it is new."""
-        first, alpha, get = self.states, [1.0], self.weight.get
-        for j in range(1, len(unit) + 1):
-            found = []
-            for i in range(max(0, j - self.longest), j):
-                if hit := get(unit[i:j]):
-                    found.append((i, hit[0], alpha[i] * hit[1]))
-            if unit[j - 1] not in self.weight:
-                found.append((j - 1, self._in_bytes(unit[j - 1]), alpha[j - 1] * IN_BYTES))
-            total = sum(w for _, _, w in found)
-            run, state = 0.0, first + j - 1
-            for i, code, w in found:
-                run += w
-                self._top.append(state + run / total)
-                self._code.append(code)
-                self._before.append(first + i - 1 if i else -1)
-            self._top[-1] = state + 1.0
-            if total < SMALL:  # only ratios within a piece's length matter
-                low = max(0, j - self.longest)
-                alpha[low:] = [a / SMALL for a in alpha[low:]]
-                total /= SMALL
-            alpha.append(total)
-        self.states += len(unit)
-        self.end[unit] = self.states - 1
-        return self.states - 1
-
-    def _flatten(self) -> None:
-        if self._top:
-            self.top = np.concatenate([self.top, np.array(self._top)])
-            self.code = np.concatenate([self.code, np.array(self._code, np.int64)])
-            self.before = np.concatenate([self.before, np.array(self._before, np.int64)])
-            self._top, self._code, self._before = [], [], []
+    def _filter(self) -> None:
+        """Filter the lattices of the new units and add their states."""
+        new, self.known.new = self.known.new, []
+        if not new:
+            return
+        x = self.trie.lattice(new)
+        alpha = forward(x, self.weights)[:, 0]
+        share = np.exp(alpha[x.begin] + self.weights[x.row, 0] - alpha[x.end])
+        order = np.argsort(x.end, kind="stable")
+        begin, end, row, share = x.begin[order], x.end[order], x.row[order], share[order]
+        code = self.id_of_row[row]
+        starts = np.zeros(len(alpha), bool)
+        starts[x.first] = True
+        unit = np.repeat(np.arange(len(new)), x.lengths + 1)
+        for k in np.flatnonzero(row == self.trie.unknown):
+            w = unit[begin[k]]
+            code[k] = self._in_bytes(new[w][begin[k] - x.first[w]])
+        run = np.cumsum(share)
+        first = np.flatnonzero(np.diff(end, prepend=-1))
+        count = np.diff(first, append=len(end))
+        run -= np.repeat(run[first] - share[first], count)
+        run[first + count - 1] = 1.0
+        self.top = np.concatenate([self.top, self.states + end + np.minimum(run, 1.0)])
+        self.code = np.concatenate([self.code, code])
+        self.before = np.concatenate([self.before, np.where(starts[begin], -1, self.states + begin)])
+        self.last = np.concatenate([self.last, self.states + x.first + x.lengths])
+        self.states += len(alpha)
 
     def encode(self, texts: list[str | None], keys: np.ndarray, seed: int) -> list[np.ndarray | None]:
         """The sampled ids of each text; ``keys``: a number for each row."""
         if self.states > KEPT_STATES:
             self.clear()
-        last: list[int] = []
-        sizes, end = [], self.end
-        for text in texts:
-            if not text:
-                sizes.append(0)
-                continue
-            found = self.units.findall(" " + text)
-            sizes.append(len(found))
-            last += [end[u] if u in end else self.add(u) for u in found]
-        self._flatten()
+        place_of = self.known.__getitem__
+        units = [
+            np.fromiter(map(place_of, self.units.findall(" " + t)), np.int64) if t else np.zeros(0, np.int64)
+            for t in texts
+        ]
+        self._filter()
+        sizes = np.array([len(u) for u in units], np.int64)
+        token = np.concatenate(units) if units else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(texts)), sizes)
-        place = np.arange(len(last)) - np.repeat(np.cumsum([0, *sizes[:-1]]), sizes)
+        place = np.arange(len(token)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         with np.errstate(over="ignore"):
             row = _mixed(keys.astype(np.uint64) + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
             source = _mixed(row[owner] + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-        state, active, step = np.array(last, np.int64), np.arange(len(last)), 0
+        state, active, step = self.last[token], np.arange(len(token)), 0
         drawn: list[tuple[np.ndarray, np.ndarray]] = []
-        count = np.zeros(len(last), np.int64)
+        count = np.zeros(len(token), np.int64)
         while len(active):
             with np.errstate(over="ignore"):
                 u = _mixed(source[active] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import language, maintext, mixing, neardup, pieces, quality, urlrules
+from veritab.llm import language, licences, maintext, mixing, neardup, pieces, quality, secretscan, simhash, urlrules
+from veritab.session import durable
 
 #: Words below which a document fails the base rule.
 FEWEST_WORDS = 50
@@ -63,6 +64,62 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Besides the contract's columns, n_near: for documents whose id is divisible by 20, how many others' fingerprints
+    lie within the Hamming radius; null for the rest, which aren't asked."""
+    documents = _read(spark, folder, "documents").select("doc_id", "text")
+    rows = simhash.with_next(documents, "doc_id", "text")
+    changed = simhash.edited(F.col("text"), F.col("next_text"))
+    facts = ["key", "range", "place", "next_range", "next_place", "n_chars", "edited_sha256", "edited"]
+    sides = (
+        rows.select("*", changed.alias("changed"))
+        .select(
+            *facts[:5],
+            F.length("text").cast("long").alias("n_chars"),
+            F.sha2(F.col("changed").cast("binary"), 256).alias("edited_sha256"),
+            F.explode(
+                F.array(
+                    F.struct(F.lit(False).alias("edited"), F.col("text").alias("t")),
+                    F.struct(F.lit(True).alias("edited"), F.col("changed").alias("t")),
+                )
+            ).alias("side"),
+        )
+        .select(*facts[:7], "side.edited", "side.t")
+    )
+    prints = durable(
+        simhash.fingerprints(sides, "t", facts)
+        .withColumn("print", F.struct("hi", "lo"))
+        .groupBy(*facts[:7])
+        .agg(
+            F.max(F.when(~F.col("edited"), F.col("print"))).alias("a"),
+            F.max(F.when(F.col("edited"), F.col("print"))).alias("b"),
+        )
+        .withColumn("fingerprint", simhash.spelled(F.col("a.hi"), F.col("a.lo")))
+    )
+    after = prints.select(F.col("range").alias("next_range"), F.col("place").alias("next_place"), F.col("a").alias("c"))
+    asked = prints.where("key % 20 = 0")
+    near = (
+        simhash.within_radius(prints, asked)
+        .groupBy("fingerprint")
+        .agg((F.sum("copies") - 1).alias("near"))
+        .withColumnRenamed("fingerprint", "asked")
+    )
+    part = lambda c: (F.col(f"{c}.hi"), F.col(f"{c}.lo"))
+    joined = prints.join(after, ["next_range", "next_place"]).join(
+        near, F.when(F.col("key") % 20 == 0, F.col("fingerprint")) == F.col("asked"), "left"
+    )
+    return joined.select(
+        F.col("key").alias("doc_id"),
+        "n_chars",
+        "edited_sha256",
+        "fingerprint",
+        simhash.spelled(F.col("b.hi"), F.col("b.lo")).alias("edited_fingerprint"),
+        simhash.likeness(part("a"), part("b")).alias("near_edited"),
+        simhash.likeness(part("a"), part("c")).alias("near_next"),
+        F.col("near").alias("n_near"),
+    )
+
+
 #: The rules of the URL filter: host, path, verdict.
 URL_RULES = [
     ("org", "/", "allow"),
@@ -85,12 +142,53 @@ def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+#: Documents as a file tree: every 1000 ids a folder of their source, every 50 ids a folder in that one; the first
+#: document of a folder is its licence file.
+FILE_PATH = """concat(source, '/', doc_id div 1000, '/', CASE
+    WHEN doc_id % 1000 = 0 THEN 'LICENSE'
+    WHEN doc_id % 50 = 0 THEN concat(doc_id div 50, '/LICENSE')
+    ELSE concat(doc_id div 50, '/', doc_id, '.txt') END)"""
+
+
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    files = _read(spark, folder, "documents").select("doc_id", F.expr(FILE_PATH).alias("path"), "text")
+    listed = lambda c: F.array_join(c, ",")
+    return licences.scan(files).select(
+        "doc_id",
+        "path",
+        listed("own").alias("own"),
+        "cosine",
+        listed("licences").alias("licences"),
+        "inherited_from",
+    )
+
+
+def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _read(spark, folder, "documents").select("doc_id", "text")
+    scanned = secretscan.scan(documents, secretscan.train(documents))
+    spelled = lambda xs: F.array_join(
+        F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ","
+    )
+    count = lambda kind: F.size(F.filter("secrets", lambda x: x["kind"] == kind)).cast("long")
+    return scanned.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(spelled(F.filter("secrets", lambda x: x["kind"] != "format")), 256).alias("base_sha256"),
+        spelled(F.col("secrets")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_source_mixing": op3_source_mixing,
     "op4_minhash_neardup": op4_minhash_neardup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_simhash": op6_simhash,
     "op7_url_filters": op7_url_filters,
     "op8_html_extraction": op8_html_extraction,
+    "op9_license_scans": op9_license_scans,
+    "op10_secret_scans": op10_secret_scans,
 }
