@@ -337,8 +337,11 @@ def train(
                 keep = [k for k in range(1, len(tree.nodes)) if not tree.gone[k]]
                 x.append(tree.features()[keep])
                 y.append(np.array(labels)[np.array(keep) - 1])
-    rows = pd.DataFrame({"x": list(np.concatenate(x)), "label": np.concatenate(y).astype(float)})
-    table = spark.createDataFrame(rows).select(array_to_vector("x").alias("features"), "label").coalesce(1)
+    rows = [(a, float(b)) for a, b in zip(np.concatenate(x).tolist(), np.concatenate(y).tolist())]
+    table = spark.createDataFrame(rows, "x array<double>, label double").select(
+        array_to_vector("x").alias("features"), "label"
+    )
+    table = table.coalesce(1)  # a bounded sample
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=seed, stepSize=0.3).fit(table.cache())
     table.unpersist()
     return Forest([_arrays(t._call_java("rootNode")) for t in model.trees], list(model.treeWeights))
