@@ -48,7 +48,7 @@ def test_prose_and_changed_notices(spark):
         spark,
         [
             ("p", "The licence of a driver was lost, and so was the copyright of the long story they wrote.", None),
-            ("q", "Code is licensed under the Apache License, Version 2.0 (see below)", None),
+            ("q", "# Code is licensed under the Apache License, Version 2.0!", None),
             ("r", "Released under the MIT License.\nLicensed under CC BY-NC 4.0.", None),
             ("r", "Released under the MIT License.", None),
         ],

@@ -16,13 +16,18 @@ class Automaton:
     follow: tuple[dict[str, tuple[int, float]], ...]
     stop: tuple[float, ...]
 
-    def rate(self, word: str) -> float:
-        """Mean log-likelihood of ``word`` for each character, its end included."""
-        total, q, unseen = 0.0, 0, log(UNSEEN)
+    def logs(self, word: str) -> list[float]:
+        """Log-likelihood of each character of ``word`` after those before it."""
+        out, q, unseen = [], 0, log(UNSEEN)
         for c in word:
             q, p = self.follow[q].get(c, (0, unseen))
-            total += p
-        return (total + self.stop[q]) / (len(word) + 1)
+            out.append(p)
+        return out
+
+    def rate(self, word: str) -> float:
+        """Mean of ``logs``. The end is left out: a key half as long has the same format."""
+        found = self.logs(word)
+        return sum(found) / max(1, len(found))
 
 
 class _Prefixes:
@@ -75,26 +80,25 @@ class _Prefixes:
 
 
 def learn(words: list[str], alpha: float = 0.05) -> Automaton:
-    """States are visited breadth first; one that fits no settled state becomes settled itself."""
+    """Merge each state with the first settled one it is compatible with; one that fits none becomes settled itself."""
     tree = _Prefixes(sorted(words))
     bound = sqrt(0.5 * log(2 / alpha))
     settled, known = [0], {0}
-    waiting = [(0, c) for c in sorted(tree.to[0])]
-    while waiting:
-        q, c = waiting.pop(0)
+
+    def unsettled() -> tuple[int, str] | None:
+        """The first edge out of a settled state that leads to one that isn't; folding may add some anywhere."""
+        return next(((q, c) for q in settled for c in sorted(tree.to[q]) if tree.to[q][c] not in known), None)
+
+    while edge := unsettled():
+        q, c = edge
         b = tree.to[q][c]
-        if b in known:
-            continue
-        for r in settled:
-            if tree.compatible(r, b, bound):
-                tree.to[q][c] = r
-                tree.fold(r, b)
-                waiting += [(r, x) for x in sorted(tree.to[r]) if tree.to[r][x] not in known]
-                break
-        else:
+        fit = next((r for r in settled if tree.compatible(r, b, bound)), None)
+        if fit is None:
             settled.append(b)
             known.add(b)
-            waiting += [(b, x) for x in sorted(tree.to[b])]
+        else:
+            tree.to[q][c] = fit
+            tree.fold(fit, b)
     place = {q: k for k, q in enumerate(settled)}
     follow, stop = [], []
     for q in settled:

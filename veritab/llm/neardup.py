@@ -193,9 +193,9 @@ def sketched(df: DataFrame, key: str, text: str, length: int, percent: int) -> D
                     rows.append((len(s), int(d[0]), int(d[1]), band_keys(registers(s), band)))
                 else:
                     rows.append((0, None, None, None))
-            yield pd.DataFrame({"key": batch["key"], **dict(zip(("n_shingles", "d0", "d1", "bands"), zip(*rows)))}).astype(
-                {"d0": "Int64", "d1": "Int64"}
-            )
+            sizes, d0, d1, bands = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+            digests = {"d0": pd.array(d0, "Int64"), "d1": pd.array(d1, "Int64")}  # a float would round them
+            yield pd.DataFrame({"key": batch["key"].array, "n_shingles": sizes, **digests, "bands": bands})
 
     return df.select(df[key].alias("key"), df[text].alias("text")).mapInPandas(
         of, f"key {kind}, n_shingles long, d0 long, d1 long, bands array<long>"

@@ -3,8 +3,9 @@
 The patterns find labelled credentials of three kinds. A bounded sample of each kind's distinct values (those with
 the lowest hashes) makes a prefix tree, whose statistically compatible states are merged into a probabilistic
 automaton. Every run of at least SHORTEST token characters anywhere in a text is a candidate; it is reported as kind
-``format`` if, under some automaton, its mean log-likelihood per character is within DEVIATIONS standard deviations
-of the labelled values' and above that of uniformly random characters, and if it overlaps no pattern's span.
+``format`` if, under some automaton, its mean log-likelihood per character is no more than DEVIATIONS standard errors
+(for its length) below the labelled values' and above that of uniformly random characters, and if it overlaps no
+pattern's span.
 
 Patterns are matched per kind, leftmost and without overlap, over whole texts; positions count code points, ends are
 exclusive. Spans are ordered by start, then by kind as in KINDS. Defined cases: null text counts as empty and has no
@@ -84,12 +85,15 @@ def labelled_spans(text: str) -> list[tuple[Span, str]]:
 
 @dataclass(frozen=True)
 class Formats:
-    """Automata of the labelled kinds, and the lowest mean log-likelihood that each accepts."""
+    """Automata of the labelled kinds, each with the mean and standard deviation of a character's log-likelihood."""
 
-    automata: tuple[tuple[Automaton, float], ...] = ()
+    automata: tuple[tuple[Automaton, float, float], ...] = ()
 
     def accepts(self, token: str) -> bool:
-        return any(a.rate(token) >= least for a, least in self.automata)
+        if not token:
+            return False
+        least = ((a.rate(token), mean - DEVIATIONS * spread / len(token) ** 0.5) for a, mean, spread in self.automata)
+        return any(rate >= max(bound, -log(ALPHABET)) for rate, bound in least)
 
 
 def learn_formats(values: dict[str, list[str]]) -> Formats:
@@ -97,9 +101,8 @@ def learn_formats(values: dict[str, list[str]]) -> Formats:
     out = []
     for _, words in sorted(values.items()):
         automaton = learn(words)
-        rates = np.array([automaton.rate(w) for w in words])
-        least = float(rates.mean() - DEVIATIONS * rates.std())
-        out.append((automaton, max(least, -log(ALPHABET))))
+        logs = np.array([x for w in words for x in automaton.logs(w)])
+        out.append((automaton, float(logs.mean()), float(logs.std())))
     return Formats(tuple(out))
 
 
