@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,17 +23,25 @@ def _missing(df: DataFrame, column: str) -> Column:
     return c.isNull()
 
 
+def _present(df: DataFrame, column: str) -> Column:
+    """The column with NaN as null: a missing value, as in every statistic here."""
+    c = F.col(f"`{column}`")
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c)
+    return c
+
+
 def describe(df: DataFrame) -> DataFrame:
     """Eight statistics (rows) of every numeric column, rounded to two places.
 
-    Two scans: moments and sketches in one aggregate, then the bracketed quartiles.
+    Moments come from one aggregate, the quartiles from narrowing ranges by counting.
     Without numeric columns the result is empty.
     """
     names = numeric_columns(df)
     if not names:
         return df.sparkSession.createDataFrame([], "statistic string")
     nums = df.select(
-        *(F.when(~_missing(df, c), F.col(f"`{c}`").cast("double")).alias(f"_{i}") for i, c in enumerate(names))
+        *(_present(df, c).cast("double").alias(f"_{i}") for i, c in enumerate(names))
     )
     ids = range(len(names))
     wide = nums.agg(
@@ -45,24 +53,17 @@ def describe(df: DataFrame) -> DataFrame:
                 F.stddev_samp(f"_{i}").alias("std"),
                 F.min(f"_{i}").alias("low"),
                 F.max(f"_{i}").alias("high"),
-                Q.bracket_points(F.col(f"_{i}"), _QUARTILES).alias("points"),
             ).alias(f"_{i}")
             for i in ids
         )
     )
     per_column = wide.select(F.inline(F.array(*(F.col(f"_{i}") for i in ids))))
-    bracketed = per_column.filter("n > 0").select(
-        "col",
-        "n",
-        Q.brackets(_QUARTILES, F.col("n"), F.col("low"), F.col("high"), F.col("points")).alias("brackets"),
-    )
     values = nums.select(
         F.inline(
             F.array(*(F.struct(F.lit(i).alias("col"), F.col(f"_{i}").alias("_value")) for i in ids))
         )
     ).filter(F.col("_value").isNotNull())
-    # One row per numeric column of the schema: small by construction.
-    ranks = Q.interpolated(Q.select_ranks(values, ["col"], "_value", F.broadcast(bracketed), _QUARTILES), "_value")
+    ranks = Q.interpolated(Q.select_ranks(values, ["col"], "_value", _QUARTILES), "_value")
     quartile = ranks.select(
         "col",
         (F.lit(4) + F.array_position(F.array(*(F.lit(q) for q in _QUARTILES)), F.col("q")).cast("int") - 1).alias("pos"),
@@ -81,13 +82,13 @@ def describe(df: DataFrame) -> DataFrame:
 
 
 def _long_values(df: DataFrame) -> DataFrame:
-    """(pos, value) pairs of all columns; long text is replaced by its digest."""
+    """(pos, value) pairs of all columns, as text; -0.0 counts as 0.0."""
 
     def cell(i: int, c: str) -> Column:
-        text = F.when(~_missing(df, c), F.col(f"`{c}`").cast("string"))
-        if isinstance(df.schema[c].dataType, T.StringType):
-            text = F.when(F.length(text) > 64, F.sha2(text, 256)).otherwise(text)
-        return F.struct(F.lit(i).alias("pos"), text.alias("value"))
+        value = _present(df, c)
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            value = value + 0.0
+        return F.struct(F.lit(i).alias("pos"), value.cast("string").alias("value"))
 
     return df.select(F.inline(F.array(*(cell(i, c) for i, c in enumerate(df.columns)))))
 
@@ -209,21 +210,20 @@ def group_summary(
     if agg_func == "median":
         return _group_median(rows, group_col, agg_col, name)
     order = F.col(order_col) if order_col else None
-    value = _simple_aggregate(agg_func, F.col(f"`{agg_col}`"), order)
+    value = _simple_aggregate(agg_func, _present(rows, agg_col), order)
     return rows.groupBy(group_col).agg(value.alias(name)).orderBy(group_col)
 
 
 def _group_median(rows: DataFrame, group_col: str, agg_col: str, name: str) -> DataFrame:
-    medians = Q.group_quantiles(rows, [group_col], agg_col, [0.5])
-    keys = rows.select(group_col).distinct()
-    return keys.join(medians, group_col, "left").select(group_col, F.col("value").alias(name)).orderBy(group_col)
+    medians = Q.group_quantiles(rows, [group_col], agg_col, [0.5], empty_groups=True)
+    return medians.select(group_col, F.col("value").alias(name)).orderBy(group_col)
 
 
 def mean_and_count(
     df: DataFrame, group_col: str, value: str, mean_name: str, count_name: str
 ) -> DataFrame:
     """Mean rounded to int, halves to even, and the count of values, by key."""
-    c = F.col(f"`{value}`")
+    c = _present(df, value)
     return (
         df.dropna(subset=[group_col])
         .groupBy(group_col)
@@ -233,27 +233,27 @@ def mean_and_count(
 
 
 def class_share(df: DataFrame, label: str, group_col: str | None = None) -> DataFrame:
-    """Rows and share of each class, overall or within a group; share with four places."""
-    if group_col is None:
-        counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-        total = df.agg(F.count(F.lit(1))).scalar()
-        return counts.select(label, "n", round_half_even(F.col("n") / total, 4).alias("share"))
-    counts = df.groupBy(group_col, label).agg(F.count(F.lit(1)).alias("n"))
-    totals = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("total"))
-    share = round_half_even(F.col("n") / F.col("total"), 4).alias("share")
-    return counts.join(totals, group_col).select(group_col, label, "n", share)
+    """Rows and share of each class, overall or within a group; share with four places.
+
+    One pass: the totals are sums of the class counts, of which a group has one per class.
+    """
+    keys = [group_col] if group_col else []
+    counts = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    shares = counts.select(*keys, label, "n", round_half_even(F.col("n") / total, 4).alias("share"))
+    return shares.filter(F.col(group_col).isNotNull()) if group_col else shares
 
 
 def top_n(
     df: DataFrame, column: str, n: int = 10, ascending: bool = False, ties: Sequence[str] = ()
 ) -> DataFrame:
-    """The n largest (smallest) rows by a numeric column, nulls last.
+    """The n largest (smallest) rows by a numeric column, nulls and NaN last.
 
     ``ties`` are the columns that settle equal values; a DataFrame has no row order.
     """
     if column not in numeric_columns(df):
         raise TypeError(f"Column '{column}' is not numeric")
-    c = F.col(f"`{column}`")
+    c = _present(df, column)
     first = c.asc_nulls_last() if ascending else c.desc_nulls_last()
     return df.orderBy(first, *(F.col(f"`{t}`").asc() for t in ties)).limit(n)
 
