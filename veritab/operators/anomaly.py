@@ -63,6 +63,7 @@ def rule_flags(start: Column, end: Column, usage: Column, bill: Column) -> Colum
     off = F.abs(paid - rate) / rate
     rate_text = F.concat(F.lit("Rp "), thousands(paid), F.lit("/kWh"))
 
+    # Severities, message texts and bounds of the rules.
     rules = [
         F.when(
             end < start,

@@ -126,19 +126,21 @@ def isolation_forest(
     """
     spark = df.sparkSession
     columns = list(columns)
-    n = df.count() if len(columns) >= FEWEST_COLUMNS else 0
-    if n < FEWEST_ROWS:
+    names = [f"_x{i}" for i in range(len(columns))]
+    numbers = df.select(
+        F.struct("*").alias("_row"),
+        F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in id_cols)).alias("_hash"),
+        *(separator_free(c).alias(x) for c, x in zip(columns, names)),
+    )
+    moments = [f(x).alias(f"{x}_{k}") for x in names for k, f in (("m", F.avg), ("s", F.stddev_pop))]
+    stats = numbers.agg(F.count(F.lit(1)).alias("n"), *moments).first()
+    n = stats["n"]
+    if n < FEWEST_ROWS or len(columns) < FEWEST_COLUMNS:
         return df.select(
             "*", F.lit(None).cast("double").alias("isolation"), F.lit(1).alias("anomaly_score"), F.lit(False).alias("is_anomaly")
         )
-    names = [f"_x{i}" for i in range(len(columns))]
-    prepared = standardize(
-        df.select(
-            F.struct("*").alias("_row"),
-            F.xxhash64(F.lit(seed), *(F.col(f"`{c}`") for c in id_cols)).alias("_hash"),
-            *(separator_free(c).alias(x) for c, x in zip(columns, names)),
-        ),
-        names,
+    prepared = numbers.select(
+        "_row", "_hash", *(((F.col(x) - stats[f"{x}_m"]) / (stats[f"{x}_s"] or 1.0)).alias(x) for x in names)
     )
 
     def uniform(hashed):
@@ -160,9 +162,11 @@ def isolation_forest(
     limit = math.ceil(math.log2(max(size, 2)))
     nodes = samples.groupBy("tree").applyInPandas(_grow(names, limit, seed), _NODES).toPandas()
     score = _scorer(spark, nodes, names, size)
-    scored = durable(prepared.select("_row.*", score(F.struct(*names)).alias("isolation")))
-    bound = group_quantiles(scored, [], "isolation", [contamination]).select("value").scalar()
-    strange = F.col("isolation") < bound
+    scored = prepared.select("_row.*", score(F.struct(*names)).alias("isolation"))
+    # Only the scores are written for the threshold; a score costs less to compute again than a row to copy.
+    scores = durable(scored.select("isolation"))
+    bound = group_quantiles(scores, [], "isolation", [contamination]).select("value").first()[0]
+    strange = F.col("isolation") < F.lit(bound)
     return scored.select(
         "*", F.when(strange, -1).otherwise(1).alias("anomaly_score"), strange.alias("is_anomaly")
     )

@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.ui.enabled": "false",
 }
 
+_PREFIX = "veritab-"
+_WRITTEN: list[str] = []
+
 
 def get_session(app: str = "veritab", master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -31,11 +34,11 @@ def get_session(app: str = "veritab", master: str | None = None, **settings: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one in local mode only."""
+    """The folder named in spark.checkpoint.dir; a temporary one where all of Spark is one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     folder = tempfile.mkdtemp(prefix="veritab-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -49,6 +52,16 @@ def durable(df: DataFrame) -> DataFrame:
     costs a re-read instead of a re-run, and the planner gets real sizes.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/veritab-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{_PREFIX}{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_durable(spark: SparkSession) -> int:
+    """Delete the tables that ``durable`` wrote in this process, once nothing reads them any more; how many."""
+    count = len(_WRITTEN)
+    while _WRITTEN:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return count

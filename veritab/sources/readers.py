@@ -31,7 +31,7 @@ def load_table(
         raise ValueError(
             f"Unsupported file type '{extension}'. Supported: {', '.join(sorted(FORMATS))}"
         )
-    if not urlparse(path).scheme and not any(c in path for c in "*?[{") and not os.path.exists(path):
+    if not any(c in path for c in "*?[{") and not _exists(spark, path):
         raise FileNotFoundError(f"File not found: {path}")
     if extension == ".csv" and header_row:
         return _csv_below_titles(spark, path, header_row, schema, options)
@@ -43,6 +43,12 @@ def load_table(
     return reader.format(FORMATS[extension]).load(path)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system that Spark would read ``path`` from has it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def _csv_below_titles(spark, path, header_row, schema, options) -> DataFrame:
     lines = spark.read.text(path)
     head = [r.value for r in lines.limit(header_row + 1).collect()]
@@ -107,6 +113,7 @@ def files_summary(df: DataFrame) -> DataFrame:
     return meta.groupBy("file_name", "file_size_bytes").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+# Fixed value: stands for a page without text.
 EMPTY_PAGE = "[No extractable text on this page]"
 
 
