@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veritab.operators.clean import missing_fields
@@ -56,8 +58,12 @@ PATTERNS = {
 #: Only '\n' ends a line, case is ignored, ^ and $ match at lines, classes are Unicode.
 _FLAGS = "(?dimU)"
 
-#: Pages per text window; a window also sees all pages of the next one.
+#: Pages with text per window; a window also sees all such pages of the next one.
 WINDOW_PAGES = 256
+#: Pages whose positions are counted together.
+COUNTED_PAGES = 256
+#: What a match of the bank above can run over without an end: digits, blanks and signs between them.
+_RUNS_ON = r"(?U)\A[\d\s.\-]*\z"
 
 
 def _search(text: Column, pattern: str) -> Column:
@@ -70,30 +76,91 @@ def _strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def _with_text(pages: DataFrame) -> DataFrame:
+    """Pages that are not blank: (doc_id, page_number, text, _lead, _index).
+
+    _lead: line ends between the page and the one with text before it; _index: pages with text before it. Both are
+    counted in blocks of pages and summed over the blocks, so no document passes through one task page by page.
+    """
+    text = F.coalesce("text", F.lit(""))
+    rows = pages.select(
+        "doc_id", "page_number", text.alias("text"), text.rlike(r"(?U)\S").alias("_full"),
+        F.floor((F.col("page_number") - 1) / COUNTED_PAGES).alias("_block"),
+    )
+    inside = Window.partitionBy("doc_id", "_block").orderBy("page_number")
+    placed = rows.withColumn("_at", F.row_number().over(inside))
+    before = Window.partitionBy("doc_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = placed.groupBy("doc_id", "_block").agg(
+        F.count(F.lit(1)).alias("_n"), F.count_if("_full").alias("_f"), F.max(F.when(F.col("_full"), F.col("_at"))).alias("_l")
+    )
+    blocks = blocks.withColumn("_rows", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    blocks = blocks.select(
+        "doc_id", "_block", "_rows",
+        F.coalesce(F.sum("_f").over(before), F.lit(0)).alias("_filled"),
+        F.max(F.col("_rows") + F.col("_l")).over(before).alias("_last"),
+    )
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    within = placed.select(
+        "*",
+        F.coalesce(F.count_if("_full").over(earlier), F.lit(0)).alias("_i"),
+        F.max(F.when(F.col("_full"), F.col("_at"))).over(earlier).alias("_p"),
+    )
+    position = F.col("_rows") + F.col("_at")
+    previous = F.coalesce(F.col("_rows") + F.col("_p"), F.col("_last"))
+    return (
+        within.filter("_full").join(blocks, ["doc_id", "_block"])
+        .select(
+            "doc_id", "page_number", "text",
+            (position - F.coalesce(previous, F.lit(1))).cast("int").alias("_lead"),
+            (F.col("_filled") + F.col("_i")).alias("_index"),
+        )
+    )
+
+
+def _windowed(full: DataFrame, window_pages: int | None) -> DataFrame:
+    """``full`` with the window ``_own`` of each page.
+
+    A window that holds nothing a match must stop at could be outrun by one: such a document is one window, as its
+    value would be as long as the document anyway. So is every document if ``window_pages`` is None.
+    """
+    if window_pages is None:
+        return full.withColumn("_own", F.lit(0))
+    own = F.floor(F.col("_index") / window_pages).cast("int")
+    placed = full.withColumn("_own", own)
+    endless = (
+        placed.groupBy("doc_id", "_own")
+        .agg(F.bool_and(F.col("text").rlike(_RUNS_ON)).alias("_open"), F.count(F.lit(1)).alias("_n"))
+        .filter(F.col("_open") & (F.col("_n") >= window_pages))
+        .select("doc_id", F.lit(True).alias("_whole")).distinct()
+    )
+    return placed.join(endless, "doc_id", "left").withColumn(
+        "_own", F.when(F.col("_whole"), 0).otherwise(F.col("_own"))
+    ).drop("_whole")
+
+
 def extract(
     pages: DataFrame, patterns: dict[str, list[str]] | None = None, window_pages: int = WINDOW_PAGES
 ) -> DataFrame:
     """(doc_id, pages, fields): one row per document with an array of found fields.
 
-    ``pages`` is (doc_id, page_number, text) with pages numbered from 1. Each pattern is
-    tried on the pages in order, then on the pages joined by a line end, before the next
-    pattern. A page hit has confidence 'high' ('medium' if the field has several
-    patterns) and its page; a hit in the joined text has 'low' and no page.
+    ``pages`` is (doc_id, page_number, text) with pages numbered from 1; a page of nothing but white space counts
+    as an empty one. Each pattern is tried on the pages in order, then on the pages joined by a line end, before
+    the next pattern. A page hit has confidence 'high' ('medium' if the field has several patterns) and its page; a
+    hit in the joined text has 'low' and no page.
 
-    Joined text is searched in windows of pages that overlap by a whole window, so that no
-    document passes through one task. A match that could reach beyond the overlap, over a
-    window of nothing but digits and blanks, raises an error: pass more ``window_pages``.
+    Joined text is searched in windows of pages with text that overlap by a whole window; empty pages between them
+    are kept as line ends. A bank of one's own is searched in whole documents, as its matches may be of any length.
     """
     bank = patterns or PATTERNS
     flat = [(field, p) for field, ps in bank.items() for p in ps]
     ids = range(len(flat))
 
-    window = F.floor((F.col("page_number") - 1) / window_pages).cast("int")
-    hits = pages.select(
+    totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
+    hits = _windowed(_with_text(pages), None if patterns else window_pages).select(
         "doc_id",
         "page_number",
-        F.coalesce("text", F.lit("")).alias("text"),
-        window.alias("_own"),
+        F.concat(F.repeat(F.lit("\n"), F.col("_lead")), F.col("text")).alias("text"),
+        "_own",
         *(_strip(_search(F.col("text"), p)).alias(f"_h{i}") for i, (_, p) in enumerate(flat)),
     )
     seen_in = F.when(F.col("_own") > 0, F.array(F.col("_own") - 1, F.col("_own"))).otherwise(F.array("_own"))
@@ -108,40 +175,36 @@ def extract(
         ),
     )
     ordered = F.array_sort("_texts")
-    rest = F.filter(ordered, lambda x: ~x["own"])
-    windows = grouped.select(
+    texts = lambda kept: F.array_join(F.transform(kept, lambda x: x["text"]), "")
+    windows = grouped.filter(F.col("_pages") > 0).select(
         "doc_id",
         "_window",
-        "_pages",
         (F.size("_texts") > 1).alias("_several"),
-        F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("_joined"),
-        F.length(
-            F.array_join(F.transform(F.filter(ordered, lambda x: x["own"]), lambda x: x["text"]), "\n")
-        ).alias("_own_length"),
-        (
-            (F.size(rest) >= window_pages)
-            & F.forall(rest, lambda x: x["text"].rlike(r"(?U)\A[\d\s.\-]*\z"))
-        ).alias("_open"),
+        texts(ordered).alias("_joined"),
+        F.length(texts(F.filter(ordered, lambda x: x["own"]))).alias("_own_length"),
         *(f"_p{i}" for i in ids),
     )
-    joined = F.when(
-        F.col("_open"), F.raise_error(F.lit("a cross-page match may exceed the window; raise window_pages"))
-    ).otherwise(F.col("_joined"))
-
-    def across(i: int, pattern: str) -> Column:
-        found = _search(joined, pattern)
-        begins_here = F.regexp_instr("_joined", F.lit(_FLAGS + pattern)) <= F.col("_own_length")
-        wanted = F.col("_several") & F.col(f"_p{i}").isNull()
-        return F.when(wanted, F.when(found.isNotNull() & begins_here, F.struct("_window", _strip(found).alias("value"))))
-
-    per_window = windows.filter(F.col("_pages") > 0).select(
-        "doc_id", "_pages", *(f"_p{i}" for i in ids), *(across(i, p).alias(f"_f{i}") for i, (_, p) in enumerate(flat))
+
+    def across(i: int, field: str, pattern: str) -> Column:
+        """The first match in the joined text, if it begins in the window's own pages.
+
+        Not looked for where a pattern of the same rank or a better one has a hit on a page of the window.
+        """
+        at = F.regexp_instr("_joined", F.lit(_FLAGS + pattern))
+        better = [F.col(f"_p{j}").isNull() for j in range(i + 1) if flat[j][0] == field]
+        wanted = reduce(and_, better, F.col("_several"))
+        begins_here = (at > 0) & (at <= F.col("_own_length"))
+        found = _strip(_search(F.col("_joined"), pattern))
+        return F.when(wanted & begins_here, F.struct("_window", found.alias("value")))
+
+    per_window = windows.select(
+        "doc_id", *(f"_p{i}" for i in ids), *(across(i, f, p).alias(f"_f{i}") for i, (f, p) in enumerate(flat))
     )
-    per_doc = per_window.groupBy("doc_id").agg(
-        F.sum("_pages").alias("pages"),
+    per_text = per_window.groupBy("doc_id").agg(
         *(F.min(f"_p{i}").alias(f"_p{i}") for i in ids),
         *(F.min(f"_f{i}").alias(f"_f{i}") for i in ids),
     )
+    per_doc = totals.join(per_text, "doc_id", "left")
 
     def resolve(field: str) -> Column:
         options = []
