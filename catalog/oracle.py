@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from catalog import bills
 from catalog.queries import CONTACTS, DEMO_DOCUMENT
-from veritab.functions.grams import UNSHARED
-from veritab.functions.text import ABBREVIATIONS, SIMILARITY_CLASSES
-from veritab.operators.anomaly import TARIFFS
+from veritab.functions.text import ABBREVIATIONS
 from veritab.operators.compare import NUMERIC_FIELDS
 from veritab.operators.extract import PATTERNS
 from veritab.sources.fixtures import COLUMN_TO_FIELD
 
 ORACLE: dict[str, str] = {}
 
+#: Squared weight of a gram that only one of two texts has.
+UNSHARED = "power(1 + ln(1.5), 2)"
+
+# Least score of each class of similarity.
+SIMILARITY_CLASSES = [(0.95, "EXACT"), (0.80, "HIGH"), (0.60, "MEDIUM"), (0.40, "LOW")]
+
+# Tariff, usual monthly use in kWh (low, high), price per kWh.
+TARIFFS = """('R1/450', 20, 150, 415), ('R1/900', 50, 300, 605), ('R1M/900', 50, 300, 1352), ('R1/1300', 80, 500, 1444),
+ ('R1/2200', 100, 800, 1444), ('R2/3500', 150, 1500, 1699), ('R2/5500', 200, 2500, 1699), ('R3/6600', 300, 5000, 1699),
+ ('B1/1300', 100, 1000, 1444), ('B1/2200', 150, 1500, 1444), ('B2/6600', 300, 5000, 1444)"""
+
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
@@ -46,7 +57,8 @@ def address(x: str) -> str:
 
 def key_of_tariff(x: str) -> str:
     text = f"replace(replace(upper({strip(x)}), ' ', ''), '-', '/')"
-    return f"regexp_replace({strip(f'replace(replace({text}, {lit(chr(86) + chr(65))}, {lit(str())}), {lit(chr(87))}, {lit(str())})')}, '/+$', '')"
+    bare_text = strip(f"replace(replace({text}, 'VA', ''), 'W', '')")
+    return f"regexp_replace({bare_text}, '/+$', '')"
 
 
 def number(x: str) -> str:
@@ -124,20 +136,21 @@ _FUNCS = {
     "mean": "avg(p_size)", "sum": "sum(p_size)", "count": "count(p_size)", "size": "count(*)",
     "min": "min(p_size)", "max": "max(p_size)", "median": "quantile_cont(p_size, 0.5)",
     "std": "stddev_samp(p_size)", "var": "var_samp(p_size)", "nunique": "count(distinct p_size)",
-    "prod": "exp(sum(ln(1 + p_size / 100000)))", "sem": "stddev_samp(p_size) / sqrt(count(p_size))",
+    "prod": "exp(sum(ln(1 + whole / 100000)))", "sem": "stddev_samp(p_size) / sqrt(count(p_size))",
     "first": "arg_min(p_size, p_partkey)", "last": "arg_max(p_size, p_partkey)",
-    "any": "cast(bool_or(p_size > 1) as int)", "all": "cast(bool_and(p_size > 1) as int)",
-    "skew": "sqrt(count(*) * (count(*) - 1.0)) / (count(*) - 2) * "
+    "any": "cast(bool_or(whole > 1) as int)", "all": "cast(bool_and(whole > 1) as int)",
+    "skew": "sqrt(count(p_size) * (count(p_size) - 1.0)) / (count(p_size) - 2) * "
     "((avg(power(p_size, 3)) - 3 * avg(p_size) * avg(power(p_size, 2)) + 2 * power(avg(p_size), 3)) / power(var_pop(p_size), 1.5))",
 }
+_SIZED = "(select p_brand, p_partkey, case when p_partkey % 13 = 0 then null else p_size end as p_size, p_size as whole from part)"
 ORACLE["group_each_function"] = " union all ".join(
-    f"select '{f}' as func, p_brand, {half_even(sql, 6)} as value from part group by p_brand" for f, sql in _FUNCS.items()
+    f"select '{f}' as func, p_brand, {half_even(sql, 6)} as value from {_SIZED} group by p_brand" for f, sql in _FUNCS.items()
 )
 ORACLE["group_median_hot"] = f"""
 select l_returnflag, {half_even('quantile_cont(l_extendedprice, 0.5)', 4)} as median from lineitem group by 1 order by 1"""
 ORACLE["mean_count_bround"] = """
 select p_name, cast(round_even(cast(avg(p_size) as double), 0) as int) as average_size, count(p_size) as part_count
-from part group by p_name order by p_name"""
+from (select p_name, case when p_partkey % 13 = 0 then null else p_size end as p_size from part) group by p_name order by p_name"""
 _NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _STATS = {
     "count": "count({c})", "mean": "avg({c})", "std": "stddev_samp({c})", "min": "min({c})",
@@ -161,8 +174,9 @@ def _info(source: str, columns: dict[str, str]) -> str:
 
 
 ORACLE["column_info"] = _info(
-    "(select o_orderkey, case when o_orderkey % 10 = 0 then null else o_custkey end as o_custkey, o_orderstatus, o_orderpriority from orders)",
-    {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string"},
+    "(select o_orderkey, case when o_orderkey % 10 = 0 then null else o_custkey end as o_custkey, o_orderstatus, o_orderpriority, "
+    "case o_orderkey % 4 when 0 then 0.0 when 1 then 0.0 when 2 then null else o_totalprice end as price from orders)",
+    {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_orderpriority": "string", "price": "double"},
 )
 ORACLE["column_info_text"] = _info(
     "documents", {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
@@ -178,7 +192,7 @@ with c as (select lang, toxic, count(*) as n from labels join documents using (d
 select lang, toxic, n, {half_even('n / sum(n) over (partition by lang)', 4)} as share from c"""
 ORACLE["class_share_overall"] = f"""
 select quality, count(*) as n, {half_even('count(*) / (select count(*) from labels)', 4)} as share from labels group by quality"""
-ORACLE["top_n"] = "select * from orders order by o_totalprice desc, o_orderkey limit 10"
+ORACLE["top_n"] = "select * from orders where o_orderkey % 9 <> 0 order by o_totalprice desc, o_orderkey limit 10"
 ORACLE["bottom_n"] = """
 select o_orderkey, case when o_orderkey % 10 = 0 then null else o_totalprice end as o_totalprice
 from orders order by 2 asc nulls last, 1 limit 25"""
@@ -265,6 +279,10 @@ found as (select doc_id, field, value, confidence, cast(page as int) as page fro
  qualify row_number() over (partition by doc_id, field order by rank, page) = 1)"""
 
 
+_LONG_PAGES = """select 'S' || s_suppkey as doc_id, n as page_number, case n when 1 then 'Periode Januari 2026' || chr(10) || 'Nomor Meter'
+ when 620 + s_suppkey % 50 then ': MTR' || s_suppkey when 621 + s_suppkey % 50 then 'Stand Awal 77' else '' end as text
+ from (select s_suppkey, unnest(range(1, 622 + s_suppkey % 50)) as n from supplier)"""
+ORACLE["extract_long"] = f"with {_extracted().replace(bills.PAGES_SQL, _LONG_PAGES)} select * from found"
 ORACLE["extract_fields"] = f"with {_extracted()} select * from found"
 ORACLE["extract_flat"] = (
     f"with {_extracted()} select doc_id, "
@@ -286,6 +304,18 @@ ORACLE["extract_contacts"] = " union all ".join(
     for f, ps in CONTACTS.items()
 )
 
+def _latin1(x: str) -> str:
+    """Letters with marks become letter and '?', as their marks are no Latin-1; so does all else beyond it."""
+    for code in range(0xA0, 0x180):
+        parts = unicodedata.normalize("NFKD", chr(code))
+        if parts != chr(code):
+            x = f"replace({x}, '{chr(code)}', '{''.join(c if ord(c) < 256 else '?' for c in parts)}')"
+    return rf"regexp_replace({x}, '[^\x00-\xFF]', '?', 'g')"
+
+
+ORACLE["latin1_text"] = f"select doc_id, {_latin1('text')} as text from documents"
+ORACLE["csv_title_rows"] = "select n_nationkey as key, n_name as name, n_regionkey as region from nation"
+
 # --- similarity -------------------------------------------------------------------------
 
 
@@ -440,9 +470,12 @@ ORACLE["compare_fields"] = f"with {_OWN} {_cells(True)}"
 ORACLE["compare_fields_plain"] = f"with {_OWN_PAIRS}, j as (select * from j0), cells as ({_cells(False)}) select doc_id, position, field_name, match_status, notes from cells"
 
 _DEMO = ", ".join(f"{lit(DEMO_DOCUMENT[f])} as d_{f}, m.{f} as m_{f}" for f in _FIELDS)
+_DEMO_BASE = _BASE.replace(bills.DOCUMENT_SQL, "select 'demo' as doc_id, " + ", ".join(f"{lit(v)} as {f}" for f, v in DEMO_DOCUMENT.items()))
 ORACLE["all_rows"] = f"""
-with m as ({bills.MASTER_SQL}), j as (select cast(row_idx as varchar) as doc_id, row_idx, {_DEMO} from m),
-cells as ({_cells(False)})
+with {_DEMO_BASE}, own as (select doc_id, row_idx from dk, mk), {pair_scores('own', 'n', 'xn')}, {pair_scores('own', 'a', 'xa')},
+j as (select cast(m.row_idx as varchar) as doc_id, m.row_idx, {_DEMO}, coalesce(xn.s, 0) as name_s, coalesce(xa.s, 0) as addr_s
+ from m left join xn using (row_idx) left join xa using (row_idx)),
+cells as ({_cells(True)})
 select cast(doc_id as bigint) as row_idx, cast(doc_id as bigint) + 1 as row_number,
  cast(count(*) filter (match_status = 'MATCH') as int) as match_count,
  {half_even("count(*) filter (match_status = 'MATCH') / 11.0 * 100", 1)} as match_percentage from cells group by doc_id"""
@@ -465,8 +498,7 @@ ORACLE["crosscheck_detail"] = f"with {_MATCHED} select doc_id, position, field_n
 
 # --- anomalies --------------------------------------------------------------------------
 
-_TARIFF_ROWS = ", ".join(f"('{k}', {lo}, {hi}, {r})" for k, (lo, hi, r) in TARIFFS.items())
-_TARIFF = f"tariffs(tarif_key, low, high, rate) as (values {_TARIFF_ROWS})"
+_TARIFF = f"tariffs(tarif_key, low, high, rate) as (values {TARIFFS})"
 ORACLE["tariff_lookup"] = f"""
 with {_TARIFF}, d as (select doc_id, {key_of_tariff("coalesce(tarif_daya, '')")} as tarif_key from {DOCS})
 select doc_id, tarif_key, low, high, rate from d left join tariffs using (tarif_key)"""
@@ -534,10 +566,24 @@ from j join sums using (doc_id) left join counted using (doc_id)"""
 ORACLE["standardized"] = f"""
 with s as (select avg(p_size) as m1, stddev_pop(p_size) as s1, avg(p_retailprice) as m2, stddev_pop(p_retailprice) as s2 from part)
 select p_partkey, {half_even('(p_size - m1) / s1', 6)} as size, {half_even('(p_retailprice - m2) / s2', 6)} as price from part, s"""
-ORACLE["isolation_share"] = "select count(*) as n, true as share_close from orders"
+ORACLE["isolation_share"] = """
+select count(*) as n, count(*) filter (o_orderkey % 500 = 0) as planted, count(*) filter (o_orderkey % 500 = 0) as found from orders"""
+ORACLE["anomaly_batch"] = f"""
+with {_flags(bills.DOCUMENT_SQL, 'doc_id')} select doc_id, cast(count(field) as int) as flags, true as label_fits from src left join flags using (doc_id) group by doc_id"""
+ORACLE["crosscheck_report"] = f"""
+with {_MATCHED}, {_flags(bills.DOCUMENT_SQL, 'doc_id')}
+select 'detail' as name, count(*) as n from cells union all select 'summary', count(*) from d
+union all select 'error_log', count(*) from cells where match_status = 'MISMATCH' union all select 'ml_scores', count(*) from d
+union all select 'anomalies', count(*) from flags"""
 
 # --- models -----------------------------------------------------------------------------
 
+ORACLE["confidence_train"] = f"""
+with {_BEST}, h as (select substring(doc_id, 2)::bigint % 10 in (0, 4, 8) as faithful from best where row_idx is not null)
+select 'samples' as metric, count(*)::double as value from h union all select 'valid_count', count(*)::double from h where faithful
+union all select 'invalid_count', count(*)::double from h where not faithful"""
+ORACLE["confidence_score"] = f"""
+with {_BEST} select doc_id, row_idx is not null as scored, case when row_idx is not null then true end as fits from best"""
 ORACLE["ordinal_onehot"] = """
 with l as (select doc_id, lang, case when n_chars < 500 then 'low' when n_chars < 2000 then 'medium' else 'high' end as length_class from labels join documents using (doc_id))
 select doc_id, length_class, cast(case length_class when 'low' then 0 when 'medium' then 1 else 2 end as double) as length_rank,

@@ -15,6 +15,7 @@ from veritab.operators.confidence import ConfidenceModel
 from veritab.operators.isolation import isolation_forest, standardize
 from veritab.operators.match import best_match
 from veritab.plans import crosscheck as cc
+from veritab.plans.batch import check_batch
 from veritab.plans.players import average_rating, clean_players
 from veritab.plans.profile_report import profile_report, write_profile_report
 from veritab.session import durable, shared_folder
@@ -185,7 +186,7 @@ def duplicate_count(spark, folder):
 @query
 def group_mean(spark, folder):
     joined = table(spark, folder, "customer").join(
-        F.broadcast(table(spark, folder, "nation")), F.col("c_nationkey") == F.col("n_nationkey")
+        table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
     )
     rounded = profile.group_summary(joined, "n_name", "c_acctbal")
     return rounded.select("n_name", numbers.round_half_even("c_acctbal_mean", 4).alias("c_acctbal_mean"))
@@ -194,7 +195,8 @@ def group_mean(spark, folder):
 @query
 def group_each_function(spark, folder):
     part = table(spark, folder, "part").select(
-        "p_brand", "p_size", "p_partkey", F.expr("1 + p_size / 100000D as factor"), F.expr("p_size > 1 as big")
+        "p_brand", F.expr("if(p_partkey % 13 = 0, double('NaN'), cast(p_size as double)) as p_size"), "p_partkey",
+        F.expr("1 + p_size / 100000D as factor"), F.expr("p_size > 1 as big")
     )
     column = {"prod": "factor", "any": "big", "all": "big"}
     out = None
@@ -215,7 +217,8 @@ def group_median_hot(spark, folder):
 
 @query
 def mean_count_bround(spark, folder):
-    return profile.mean_and_count(table(spark, folder, "part"), "p_name", "p_size", "average_size", "part_count")
+    part = table(spark, folder, "part").select("p_name", F.expr("if(p_partkey % 13 = 0, double('NaN'), p_size) as p_size"))
+    return profile.mean_and_count(part, "p_name", "p_size", "average_size", "part_count")
 
 
 @query
@@ -226,7 +229,8 @@ def describe(spark, folder):
 @query
 def column_info(spark, folder):
     orders = table(spark, folder, "orders").select(
-        "o_orderkey", F.expr(_every("o_custkey", 10, "null", "o_orderkey")), "o_orderstatus", "o_orderpriority"
+        "o_orderkey", F.expr(_every("o_custkey", 10, "null", "o_orderkey")), "o_orderstatus", "o_orderpriority",
+        F.expr("case o_orderkey % 4 when 0 then -0.0D when 1 then 0.0D when 2 then double('NaN') else o_totalprice end as price"),
     )
     return profile.column_info(orders)
 
@@ -260,7 +264,11 @@ def class_share_overall(spark, folder):
 
 @query
 def top_n(spark, folder):
-    return profile.top_n(table(spark, folder, "orders"), "o_totalprice", 10, ties=["o_orderkey"])
+    """Prices that are no number come last, as if missing."""
+    orders = table(spark, folder, "orders").withColumn(
+        "o_totalprice", F.expr("if(o_orderkey % 9 = 0, double('NaN'), o_totalprice)")
+    )
+    return profile.top_n(orders, "o_totalprice", 10, ties=["o_orderkey"])
 
 
 @query
@@ -406,6 +414,19 @@ def csv_round_trip(spark, folder):
     return readers.load_table(spark, path, schema=orders.schema)
 
 
+@query
+def csv_title_rows(spark, folder):
+    """A CSV file with two title lines above its header, written and read again."""
+    path = f"{_run_folder(spark)}.csv"
+    nation = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    line = F.concat_ws(",", F.format_string("%03d", "n_nationkey"), "n_name", "n_regionkey")
+    title = "Nations\nall of them\nkey,name,region\n"
+    one = nation.agg(F.concat(F.lit(title), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("value"))
+    one.write.text(path)
+    read = readers.load_table(spark, path, header_row=2)
+    return read.select(F.expr("cast(key as bigint) as key"), "name", F.expr("cast(region as bigint) as region"))
+
+
 @query
 def report_sink(spark, folder):
     tables = profile_report(
@@ -451,6 +472,23 @@ def extract_flat(spark, folder):
     return extract.flat_fields(extract.extract(bills.pages(spark, folder)))
 
 
+@query
+def extract_long(spark, folder):
+    """Documents of more than 600 pages, all but three of them blank; one label's value is on the far side."""
+    pages = table(spark, folder, "supplier").select(
+        F.expr("concat('S', cast(s_suppkey as string)) as doc_id"), "s_suppkey",
+        F.explode(F.expr("sequence(1, cast(621 + s_suppkey % 50 as int))")).alias("page_number"),
+    )
+    text_of = F.expr(
+        "case when page_number = 1 then concat('Periode Januari 2026', chr(10), 'Nomor Meter') "
+        "when page_number = 620 + s_suppkey % 50 then concat(': MTR', cast(s_suppkey as string)) "
+        "when page_number = 621 + s_suppkey % 50 then 'Stand Awal 77' "
+        "when page_number % 7 = 0 then ' ' else '' end"
+    )
+    done = extract.extract(pages.select("doc_id", "page_number", text_of.alias("text")))
+    return extract.long_fields(done).select("doc_id", "field", "value", "confidence", "page")
+
+
 @query
 def extract_summary(spark, folder):
     done = extract.extraction_summary(extract.extract(bills.pages(spark, folder)))
@@ -554,7 +592,7 @@ def compare_fields_plain(spark, folder):
     return cc.detail(done).select("doc_id", "position", "field_name", "match_status", "notes")
 
 
-# The demo document: the first seed row with two wrong readings.
+# The demo document, the first seed row with two wrong readings.
 DEMO_DOCUMENT = {
     "id_pelanggan": "532100012345",
     "nama_pelanggan": "SUHARTO",
@@ -572,14 +610,15 @@ DEMO_DOCUMENT = {
 
 @query
 def all_rows(spark, folder):
-    done = compare.compare_with_all_rows(DEMO_DOCUMENT, bills.master(spark, folder), use_ml=False)
+    done = compare.compare_with_all_rows(DEMO_DOCUMENT, bills.master(spark, folder))
     return done.select("row_idx", "row_number", "match_count", "match_percentage")
 
 
 @lru_cache(maxsize=2)
 def _checked(spark, folder):
-    """The checked documents, written once for the reports that read them."""
-    return durable(cc.crosscheck(bills.documents(spark, folder), bills.master(spark, folder)))
+    """The checked and scored documents, written once for the reports that read them."""
+    model = ConfidenceModel.trained_on_synthetic(spark)
+    return durable(cc.crosscheck(bills.documents(spark, folder), bills.master(spark, folder), model=model))
 
 
 @query
@@ -587,6 +626,17 @@ def crosscheck_summary(spark, folder):
     return cc.summary(_checked(spark, folder)).drop("checked_at")
 
 
+@query
+def crosscheck_report(spark, folder):
+    """Rows of each table of a written report."""
+    root = cc.write_crosscheck_report(_checked(spark, folder), _run_folder(spark), "bills")
+    out = None
+    for name in ("detail", "summary", "error_log", "ml_scores", "anomalies"):
+        one = spark.read.parquet(f"{root}/{name}").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query
 def crosscheck_errors(spark, folder):
     return cc.error_log(_checked(spark, folder))
@@ -657,11 +707,29 @@ def isolation_forest_lines(spark, folder):
 
 @query
 def isolation_share(spark, folder):
-    """The anomalies are the share asked for, to the row."""
-    rows = table(spark, folder, "orders").withColumn("price", F.expr("cast(o_totalprice * 100 as bigint)"))
-    done = isolation_forest(rows, ["o_orderkey"], ["price", "o_custkey"], contamination=0.05)
-    close = F.abs(F.count_if("is_anomaly") - F.count(F.lit(1)) * 0.05) <= F.count(F.lit(1)) * 0.01
-    return done.agg(F.count(F.lit(1)).alias("n"), close.alias("share_close"))
+    """Every 500th order is far off in both numbers: the forest must call all of these anomalies."""
+    rows = table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.expr("o_orderkey % 500 = 0 as planted"),
+        F.expr("cast(o_totalprice * if(o_orderkey % 500 = 0, 900, 1) as bigint) as price"),
+        F.expr("o_custkey + if(o_orderkey % 500 = 0, 90000000, 0) as customer"),
+    )
+    done = isolation_forest(rows, ["o_orderkey"], ["price", "customer"], contamination=0.05)
+    return done.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("planted").alias("planted"),
+        F.count_if(F.col("planted") & F.col("is_anomaly")).alias("found"),
+    )
+
+
+@query
+def anomaly_batch(spark, folder):
+    """Rules and forest label of every document in one call; labels are checked against their meaning."""
+    done = check_batch(bills.documents(spark, folder), ["doc_id"])
+    return done.select(
+        "doc_id", F.size("anomaly_flags").alias("flags"),
+        ((F.col("anomaly_score") == -1) == F.col("is_anomaly")).alias("label_fits"),
+    )
 
 
 # --- models -----------------------------------------------------------------------------
@@ -677,20 +745,25 @@ def _history(spark, folder):
 
 @query
 def confidence_train(spark, folder):
-    metrics = ConfidenceModel.train(_history(spark, folder), trees=20).metrics
-    rows = [(k, float(v)) for k, v in metrics.items() if not isinstance(v, dict)]
+    metrics = ConfidenceModel.train(_history(spark, folder)).metrics
+    rows = [(k, float(metrics[k])) for k in ("samples", "valid_count", "invalid_count")]
     return spark.createDataFrame(rows, "metric string, value double")
 
 
 @query
 def confidence_score(spark, folder):
-    done = ConfidenceModel.trained_on_synthetic(spark).score(_checked(spark, folder), where="matched_row_index is not null")
-    return done.select("doc_id", "confidence_score", "prediction", "risk_level", F.to_json("feature_contributions").alias("contributions"))
+    """Who is scored, and whether prediction and risk level follow from the score."""
+    done = _checked(spark, folder)
+    c = F.col("confidence_score")
+    predicted = F.when(c >= 60, "VALID").otherwise("SUSPICIOUS")
+    level = F.when(c >= 85, "LOW").when(c >= 60, "MEDIUM").otherwise("HIGH")
+    fits = (c >= 0) & (c <= 100) & (F.col("prediction") == predicted) & (F.col("risk_level") == level)
+    return done.select("doc_id", c.isNotNull().alias("scored"), fits.alias("fits"))
 
 
 @query
 def confidence_explain(spark, folder):
-    return ConfidenceModel.train(_history(spark, folder), trees=20).explain(spark)
+    return ConfidenceModel.train(_history(spark, folder)).explain(spark)
 
 
 def _labelled(spark, folder):
@@ -773,7 +846,7 @@ def boosted_importances(spark, folder):
 @query
 def partial_dependence(spark, folder):
     split, tuned = _tuned(spark, folder)
-    return churn.partial_dependence(tuned.bestModel, split, ["n_chars", "words", "lines", "digits", "length_rank"], 5)
+    return churn.partial_dependence(tuned.bestModel, split, ["n_chars", "words", "lines", "digits", "length_rank"])
 
 
 # --- player cleaning --------------------------------------------------------------------

@@ -88,12 +88,29 @@ def test_extraction(spark, window):
     assert counts["empty"] == (1, 0) and counts["long"][0] == 11
 
 
-def test_extraction_fails_loudly_on_open_windows(spark):
-    rows = [("d", 1, "Stand Awal")] + [("d", i, "") for i in range(2, 9)] + [("d", 9, ": 77")]
+def test_extraction_over_runs_of_empty_and_numeric_pages(spark):
+    long = {
+        "blank": ["Stand Awal", *[""] * 700, ": 77", "Nama Pelanggan", *["  "] * 300, "SUHARTO"],
+        "numeric": ["ID Pelanggan : 53", *["1 2 3"] * 40, "end", "Stand Akhir 5"],
+        "nothing": [""] * 600,
+    }
+    rows = [(d, i + 1, t) for d, ts in long.items() for i, t in enumerate(ts)]
     pages = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
-    assert long_fields(extract(pages)).first().value == "77"
-    with pytest.raises(Exception, match="window_pages"):
-        extract(pages, window_pages=2).collect()
+    want = {d: by_hand([t.strip() for t in ts]) for d, ts in long.items()}
+    for window in (256, 3):
+        got = {d: {} for d in long}
+        done = extract(pages, window_pages=window)
+        for r in long_fields(done).collect():
+            got[r.doc_id][r.field] = (r.value, r.confidence, r.page)
+        assert got == want
+        assert {r.doc_id: r.pages for r in done.collect()} == {d: len(ts) for d, ts in long.items()}
+
+
+def test_own_patterns_are_searched_in_whole_documents(spark):
+    rows = [("d", 1, "from here")] + [("d", i, f"word {i}") for i in range(2, 40)] + [("d", 40, "to there")]
+    pages = spark.createDataFrame(rows, "doc_id string, page_number int, text string")
+    found = long_fields(extract(pages, {"span": [r"here([\s\S]*)to"]}, window_pages=2)).first()
+    assert found.value.startswith("word 2") and found.value.endswith("word 39")
 
 
 def test_split_and_trees(spark):

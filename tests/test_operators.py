@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from veritab.functions import grams, numbers, text
 from veritab.operators import anomaly, clean, profile, quantiles, similarity
 from veritab.operators.isolation import isolation_forest
+from veritab.plans.batch import NUMBERS, check_batch
 from veritab.plans.players import player_tables
 from veritab.plans.profile_report import profile_report, write_profile_report
 from veritab.sources import readers, sinks
@@ -86,20 +87,95 @@ def test_quantiles_match_numpy(spark):
     assert len(got) == 10
 
 
-# Salaries by department, employee ids counting from 1001.
-EMPLOYEES = """
-Engineering 95000, Marketing 78000, Engineering 62000, Sales 55000, Engineering 110000, Marketing 65000, Sales 82000,
-Engineering 92000, HR 58000, Engineering 98000, Sales 53000, Engineering 60000, Marketing 61000, HR 75000,
-Engineering 125000, Sales 70000, Marketing 95000, Engineering 72000, Sales 105000, HR 52000, Engineering 88000,
-Marketing 73000, Sales 54000, Engineering 97000, HR 56000
-"""
+def test_quantiles_of_wide_and_odd_values(spark):
+    """Whole numbers beyond 2 ** 53, infinities, tiny and huge doubles, decimals: ranks stay exact."""
+    rng = np.random.default_rng(7)
+    big = [2**62 + int(x) for x in rng.integers(0, 5000, 3000)] + [-(2**62), 5, 5, 5]
+    wide = [*(10.0 ** rng.uniform(-300, 300, 2000)), *(-(10.0 ** rng.uniform(-300, 300, 2000))), 0.0, -0.0, float("inf"), float("-inf"), 5e-324]
+    for values, kind in ((big, "bigint"), (wide, "double"), ([f"{x}.5" for x in big], "decimal(38,1)")):
+        df = spark.createDataFrame([(str(v),) for v in values], "s string").selectExpr(f"cast(s as {kind}) as v")
+        order = sorted(r.v for r in df.collect())
+        got = quantiles.select_ranks(df, [], "v", [0.0, 0.3, 0.5, 0.77, 1.0], cells=16, last=8).collect()
+        assert len(got) == 5
+        for r in got:
+            at = r.q * (len(order) - 1)
+            assert (r.lower, r.upper) == (order[int(np.floor(at))], order[int(np.ceil(at))])
+
+
+def test_quantiles_sort_few_values_at_once(spark, monkeypatch):
+    """Ranges are narrowed until they hold LAST values at most, or one value."""
+    seen = []
+    held = quantiles._held
+
+    def watched(present, ranges, keys):
+        out = held(present, ranges, keys)
+        on = [*keys, "lo", "hi", "below"]
+        seen.append(out.groupBy(*on).agg(F.countDistinct("_v").alias("n")).agg(F.max("n")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(quantiles, "_held", watched)
+    df = spark.range(200_000).select((F.col("id") % 3).alias("k"), (F.exp(F.rand(3) * 40)).alias("v"))
+    quantiles.select_ranks(df, ["k"], "v", [0.5], cells=64, last=100).count()
+    assert len(seen) > 2 and seen[0] > 60_000 and seen[-1] <= 100
+
+
+def test_missing_numbers_count_as_missing(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0, -0.0), (1, nan, 0.0), (1, 3.0, nan), (2, nan, None)], "k int, v double, z double")
+    assert col(profile.group_summary(df, "k", "v")) == [1, 2]
+    assert [r.v_mean for r in profile.group_summary(df, "k", "v").collect()] == [2.0, None]
+    assert [r.v_median for r in profile.group_summary(df, "k", "v", "median").collect()] == [2.0, None]
+    assert profile.top_n(df, "v", 1, ties=["k"]).first().v == 3.0
+    assert {r.column: r.unique for r in profile.column_info(df).collect()} == {"k": 2, "v": 2, "z": 1}
+
+
+def test_batch_check_joins_rules_and_forest(spark):
+    rows = [(i, str(1000 + i), str(1100 + i), "100", str(144_400 + 7 * i), "R1/1300 VA") for i in range(40)]
+    rows.append((40, "999999", "5", "99999", "1", "R1/1300 VA"))
+    df = spark.createDataFrame(rows, "id int, stand_meter_awal string, stand_meter_akhir string, pemakaian_kwh string, biaya_listrik string, tarif_daya string")
+    done = check_batch(df, ["id"], contamination=0.05).collect()
+    forest = isolation_forest(df, ["id"], NUMBERS, contamination=0.05).collect()
+    rules = anomaly.check_rules(df).collect()
+    key = lambda r: r.id
+    for a, b, c in zip(sorted(done, key=key), sorted(forest, key=key), sorted(rules, key=key)):
+        assert (a.anomaly_score, a.is_anomaly, a.anomaly_flags) == (b.anomaly_score, b.is_anomaly, c.anomaly_flags)
+    assert next(r for r in done if r.id == 40).is_anomaly
+    few = check_batch(df.limit(3).drop("tarif_daya", "biaya_listrik"), ["id"]).collect()
+    assert all(r.anomaly_score == 1 and not r.is_anomaly for r in few)
+
+
+# Employee id, department, salary.
+EMPLOYEES = [
+    (1001, "Engineering", 95000),
+    (1002, "Marketing", 78000),
+    (1003, "Engineering", 62000),
+    (1004, "Sales", 55000),
+    (1005, "Engineering", 110000),
+    (1006, "Marketing", 65000),
+    (1007, "Sales", 82000),
+    (1008, "Engineering", 92000),
+    (1009, "HR", 58000),
+    (1010, "Engineering", 98000),
+    (1011, "Sales", 53000),
+    (1012, "Engineering", 60000),
+    (1013, "Marketing", 61000),
+    (1014, "HR", 75000),
+    (1015, "Engineering", 125000),
+    (1016, "Sales", 70000),
+    (1017, "Marketing", 95000),
+    (1018, "Engineering", 72000),
+    (1019, "Sales", 105000),
+    (1020, "HR", 52000),
+    (1021, "Engineering", 88000),
+    (1022, "Marketing", 73000),
+    (1023, "Sales", 54000),
+    (1024, "Engineering", 97000),
+    (1025, "HR", 56000),
+]
 
 
 def test_profile_of_employees(spark):
-    people = [p.split() for p in EMPLOYEES.replace("\n", " ").split(",")]
-    df = spark.createDataFrame(
-        [(1001 + i, d, int(s)) for i, (d, s) in enumerate(people)], "employee_id int, department string, salary int"
-    )
+    df = spark.createDataFrame(EMPLOYEES, "employee_id int, department string, salary int")
     tables = profile_report(
         df, filters=[{"column": "salary", "operator": ">=", "value": 60000}],
         group_by={"group_col": "department", "agg_col": "salary"}, top_n={"column": "salary"}, ties=["employee_id"],
