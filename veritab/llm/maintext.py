@@ -323,8 +323,11 @@ def train(
 ) -> Forest | None:
     """Trees fitted on frames filled with the texts of ``sample`` pages, those with the lowest hashes."""
     spark = pages.sparkSession
-    chosen = pages.where(F.length(html) > 0).select(F.col(html).alias("h"), F.xxhash64(html).alias("k"))
-    texts = [t for r in chosen.orderBy("k", "h").limit(sample).collect() if (t := texts_of(r["h"]))]  # bounded
+    hashed = pages.where(F.length(html) > 0).select(F.col(html).alias("h"), F.xxhash64(html).alias("k"))
+    # Hashes first: a sorted limit sends the rows it may keep of every task to the driver.
+    lowest = [r["k"] for r in hashed.select("k").distinct().orderBy("k").limit(sample).collect()]
+    chosen = hashed.where(F.col("k").isin(lowest)).dropDuplicates(["k"]).collect() if lowest else []  # ``sample`` rows
+    texts = [t for r in sorted(chosen, key=lambda r: r["k"]) if (t := texts_of(r["h"]))]
     if not texts:
         return None
     rng = random.Random(seed)
