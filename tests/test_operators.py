@@ -129,6 +129,14 @@ def test_missing_numbers_count_as_missing(spark):
     assert {r.column: r.unique for r in profile.column_info(df).collect()} == {"k": 2, "v": 2, "z": 1}
 
 
+def test_estimated_distinct_counts(spark):
+    df = spark.range(5000).selectExpr("id", "id % 7 as few", "if(id % 2 = 0, null, double('NaN')) as none")
+    exact = {r.column: r for r in profile.column_info(df).collect()}
+    for r in profile.column_info(df, relative_error=0.02).collect():
+        e = exact[r.column]
+        assert (r.type, r.non_null, r["null"]) == (e.type, e.non_null, e["null"]) and abs(r.unique - e.unique) <= 0.1 * e.unique
+
+
 def test_batch_check_joins_rules_and_forest(spark):
     rows = [(i, str(1000 + i), str(1100 + i), "100", str(144_400 + 7 * i), "R1/1300 VA") for i in range(40)]
     rows.append((40, "999999", "5", "99999", "1", "R1/1300 VA"))

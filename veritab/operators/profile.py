@@ -93,12 +93,15 @@ def _long_values(df: DataFrame) -> DataFrame:
     return df.select(F.inline(F.array(*(cell(i, c) for i, c in enumerate(df.columns)))))
 
 
-def column_info(df: DataFrame) -> DataFrame:
+def column_info(df: DataFrame, relative_error: float | None = None) -> DataFrame:
     """Name, type, non-null, null and distinct count of every column.
 
     One grouping by (column, value) serves all columns: repeated values meet before the
-    shuffle, and no column's values pass through one task.
+    shuffle, and no column's values pass through one task. With ``relative_error`` the
+    distinct counts are estimates and nothing but one sketch a column is shuffled.
     """
+    if relative_error is not None:
+        return _estimated_info(df, relative_error)
     counted = _long_values(df).groupBy("pos", "value").agg(F.count(F.lit(1)).alias("_c"))
     stats = counted.groupBy("pos").agg(
         F.sum(F.when(F.col("value").isNotNull(), F.col("_c")).otherwise(0)).alias("non_null"),
@@ -116,6 +119,18 @@ def column_info(df: DataFrame) -> DataFrame:
     )
 
 
+def _estimated_info(df: DataFrame, relative_error: float) -> DataFrame:
+    def facts(c: str) -> Column:
+        n = F.count(_present(df, c))
+        return F.struct(
+            F.lit(c).alias("column"), F.lit(df.schema[c].dataType.simpleString()).alias("type"),
+            n.alias("non_null"), (F.count(F.lit(1)) - n).alias("null"),
+            F.approx_count_distinct(_present(df, c), relative_error).alias("unique"),
+        )
+
+    return df.agg(F.array(*(facts(c) for c in df.columns)).alias("all")).select(F.inline("all"))
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(column, nulls) of every column."""
     wide = df.agg(*(F.count_if(_missing(df, c)).alias(f"_{i}") for i, c in enumerate(df.columns)))
