@@ -574,7 +574,7 @@ ORACLE["crosscheck_report"] = f"""
 with {_MATCHED}, {_flags(bills.DOCUMENT_SQL, 'doc_id')}
 select 'detail' as name, count(*) as n from cells union all select 'summary', count(*) from d
 union all select 'error_log', count(*) from cells where match_status = 'MISMATCH' union all select 'ml_scores', count(*) from d
-union all select 'anomalies', count(*) from flags"""
+union all select 'anomalies', count(*) from flags join best using (doc_id) where row_idx is not null"""
 
 # --- models -----------------------------------------------------------------------------
 
