@@ -30,8 +30,9 @@ from veritab.llm.columns import let, words
 
 BITS = 128
 HEAVIEST = 24
-#: Rows in a range of keys, about, and sampled keys for each range.
-RANGE_ROWS, SAMPLED = 8192, 64
+#: Rows in a range of keys, about, sampled keys for each range, and ranges at most: beyond that ranges grow, so that
+#: the boundaries, which travel with the plan, stay a short list. A range is sorted with spilling, never held.
+RANGE_ROWS, SAMPLED, MOST_RANGES = 8192, 64, 20_000
 RADIUS, BLOCKS = 3, 5
 
 _LANES = (1 << 32) | 1
@@ -100,7 +101,7 @@ def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
     kind = df.schema[key].dataType.simpleString()
     keyed = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows, least = keyed.agg(F.count("*"), F.min("key")).first()
-    wanted = -(-rows // RANGE_ROWS)
+    wanted = min(-(-rows // RANGE_ROWS), MOST_RANGES)
     share = SAMPLED * wanted / max(1, rows)
     sample = keyed.select("key").where("key IS NOT NULL")
     picked = sorted(

@@ -33,8 +33,9 @@ from veritab.llm.columns import ascii_lower, fresh_name
 from veritab.llm.vocabulary import bound_batches
 
 DEFAULT = "allow"
-#: URLs in a range, about, and sampled URLs for each range.
-RANGE_ROWS, SAMPLED = 200_000, 64
+#: URLs in a range, about, sampled URLs for each range, and ranges at most: beyond that ranges grow, so that the
+#: boundaries stay a short list. A range is sorted with spilling and read as a stream.
+RANGE_ROWS, SAMPLED, MOST_RANGES = 200_000, 64, 20_000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -89,7 +90,7 @@ def spelled(key: str, path: str) -> str:
 
 def _cuts(keys: DataFrame, rows: int) -> list[str]:
     """Sorted boundaries, one fewer than ranges; a key that fills whole ranges comes repeatedly."""
-    ranges = max(1, -(-rows // RANGE_ROWS))
+    ranges = min(max(1, -(-rows // RANGE_ROWS)), MOST_RANGES)
     if ranges == 1:
         return []
     share = min(1.0, SAMPLED * ranges / rows)
