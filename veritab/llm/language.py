@@ -42,8 +42,8 @@ SMOOTHING = 0.1
 UNKNOWN_LETTER = 1e-6
 #: Words whose lattices are held at once.
 AT_ONCE = 4096
-#: Scored words that a worker keeps before it starts anew.
-KEPT_WORDS = 300_000
+#: Scored words that a worker keeps; once there are more, the half used most stays.
+KEPT_WORDS = 240_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -195,6 +195,16 @@ class Scorer:
         self.tokens = _Tokens()
         self.scores = np.zeros((0, len(self.model.languages)))
         self.lettered = np.zeros(0, bool)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the tokens used most since the last time; what is kept changes no result."""
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: KEPT_WORDS // 2])
+        names = list(self.tokens)
+        tokens = _Tokens()
+        tokens.update((names[k], place) for place, k in enumerate(kept.tolist()))
+        self.tokens, self.scores, self.lettered = tokens, self.scores[kept], self.lettered[kept]
+        self.uses = np.zeros(len(kept), np.int64)
 
     def _learn(self) -> None:
         new, self.tokens.new = self.tokens.new, []
@@ -208,16 +218,18 @@ class Scorer:
             np.add.at(scores, owner, log_likelihoods(self.model, distinct)[flat])
         self.scores = np.concatenate([self.scores, scores])
         self.lettered = np.concatenate([self.lettered, np.array([bool(p) for p in parts], bool)])
+        self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if len(self.tokens) > KEPT_WORDS:
-            self.clear()
+            self._forget()
         place = self.tokens.__getitem__
         at = [np.fromiter(map(place, (t or "").lower().split()), np.int64) for t in texts]
         if self.tokens.new:
             self._learn()
         names, scores = [], []
         for ids in at:
+            self.uses[ids] += 1
             if not self.model.languages or not self.lettered[ids].any():
                 names.append(UNDETERMINED)
                 scores.append(0.0)

@@ -49,7 +49,7 @@ BASE, RATE, LARGEST = 1.001, 20.0, 2**16 - 1
 BLOCK_NODES, BLOCK_SHINGLES = 1000, 4_000_000
 #: Standard deviations that an estimate may lie below the threshold and still be verified.
 MARGIN = 5.0
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _random.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
