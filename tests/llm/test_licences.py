@@ -14,8 +14,8 @@ def scanned(spark, rows):
 
 
 def test_templates_find_themselves(spark):
-    units = spark.createDataFrame([(t,) for _, t in licences.TEMPLATES], "unit string")
-    got = {r.unit: r for r in licences.score_units(units).collect()}
+    units = spark.createDataFrame([(t, t) for _, t in licences.TEMPLATES], "uid string, unit string")
+    got = {r.uid: r for r in licences.score_units(units).collect()}
     for name, text in licences.TEMPLATES:
         assert got[text].licence == name and got[text].cosine == 1.0
 

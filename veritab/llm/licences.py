@@ -99,35 +99,38 @@ def _template_terms() -> tuple[list[tuple[int, str, str, float]], float]:
 
 
 def score_units(units: DataFrame) -> DataFrame:
-    """(unit, licence, cosine) of each distinct ``unit`` that is close enough to a template."""
+    """(uid, licence, cosine) of each distinct unit (uid, unit) that is close enough to a template.
+
+    ``uid`` stands for the text of a unit, which would otherwise travel with each of its terms.
+    """
     spark = units.sparkSession
     rows, unknown = _template_terms()
     templates = spark.createDataFrame(rows, "template int, licence string, term string, weight double, share double")
     weights = F.broadcast(templates.select("term", "weight").distinct())  # a few hundred terms, constant
     counted = (
-        units.select("unit")
-        .distinct()
-        .select("unit", F.explode(terms(F.col("unit"))).alias("term"))
-        .groupBy("unit", "term")
+        units.select("uid", "unit")
+        .dropDuplicates(["uid"])
+        .select("uid", F.explode(terms(F.col("unit"))).alias("term"))
+        .groupBy("uid", "term")
         .agg(F.count("*").alias("n"))
         .join(weights, "term", "left")
         .withColumn("value", F.col("n") * F.coalesce("weight", F.lit(unknown)))
     )
-    norms = counted.groupBy("unit").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    norms = counted.groupBy("uid").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
     products = (
         counted.join(F.broadcast(templates.select("template", "licence", "term", "share")), "term")
-        .groupBy("unit", "template", "licence")
+        .groupBy("uid", "template", "licence")
         .agg(F.sum(F.col("value") * F.col("share")).alias("product"))
     )
     cosine = F.round(F.col("product") / F.col("norm"), 6)
-    scored = products.join(norms, "unit").select("unit", "licence", cosine.alias("cosine"))
+    scored = products.join(norms, "uid").select("uid", "licence", cosine.alias("cosine"))
     best = F.max_by("licence", F.struct("cosine", "order"))
     order = {name: -k for k, name in enumerate(sorted({r[1] for r in rows}))}
     place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("licence")]
     return (
         scored.where(F.col("cosine") >= LEAST)
         .withColumn("order", place)
-        .groupBy("unit")
+        .groupBy("uid")
         .agg(best.alias("licence"), F.max("cosine").alias("cosine"))
     )
 
@@ -156,9 +159,11 @@ def scan(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     is_licence = F.coalesce(F.element_at(F.split(df[path], "/"), -1).rlike(LICENCE_FILE), F.lit(False))
     found = F.array_distinct(F.when(is_licence, F.array_append(lines, t)).otherwise(lines))
     units = durable(
-        df.select(df[path].alias("path"), is_licence.alias("is_licence"), F.explode(found).alias("unit")).distinct()
+        df.select(df[path].alias("path"), is_licence.alias("is_licence"), F.explode(found).alias("unit"))
+        .withColumn("uid", F.md5("unit"))
+        .dropDuplicates(["path", "uid"])
     )
-    named = units.join(score_units(units), "unit")
+    named = units.drop("unit").join(score_units(units), "uid")
     of_file = durable(
         named.groupBy("path").agg(
             F.sort_array(F.collect_set("licence")).alias("own"),  # distinct licences: as many as templates name
