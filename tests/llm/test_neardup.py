@@ -90,6 +90,25 @@ def test_one_row_of_each_group_stays(odd_documents, documents):
     assert neardup.deduplicate(twice).count() == neardup.groups(documents).where("kept").count()
 
 
+@pytest.mark.parametrize("key", [None, 7])
+def test_a_key_of_many_rows_multiplies_nothing(spark, monkeypatch, key):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        words = [f"w{k}x{rng.randrange(3000)}" for _ in range(60)]
+        rows += [(key, " ".join(words)), (key, " ".join(words[:-1]))]
+    fetched = []
+
+    def kept(*tables, fetch=neardup._with_text):
+        fetched.append(fetch(*tables))
+        return fetched[0]
+
+    monkeypatch.setattr(neardup, "_with_text", kept)
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got.count() == 120
+    assert fetched[0].count() == fetched[0].select("node").distinct().count() == 120
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)

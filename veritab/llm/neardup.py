@@ -178,28 +178,32 @@ def link_block(
     return forest
 
 
-def sketched(df: DataFrame, key: str, text: str, length: int, percent: int) -> DataFrame:
-    """(key, n_shingles, d0, d1, bands) of each row; d0, d1: digest of its set, null for an empty one."""
-    bound_batches(df.sparkSession)
-    kind, band = df.schema[key].dataType.simpleString(), band_rows(percent)
+def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, key, text) of ``df``, written once, so that a row keeps its number however often it is read."""
+    return durable(df.select(F.monotonically_increasing_id().alias("row"), df[key].alias("key"), df[text].alias("text")))
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def sketched(rows: DataFrame, length: int, percent: int) -> DataFrame:
+    """(row, key, n_shingles, d0, d1, bands) of each of ``rows``; d0, d1: digest of its set, null for an empty one."""
+    bound_batches(rows.sparkSession)
+    band = band_rows(percent)
+
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for t in batch["text"]:
+            found = []
+            for t in batch:
                 s = shingles(t, length)
                 if len(s):
                     d = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                    rows.append((len(s), int(d[0]), int(d[1]), band_keys(registers(s), band)))
+                    found.append((len(s), int(d[0]), int(d[1]), band_keys(registers(s), band)))
                 else:
-                    rows.append((0, None, None, None))
-            sizes, d0, d1, bands = (list(c) for c in zip(*rows)) if rows else ([], [], [], [])
+                    found.append((0, None, None, None))
+            sizes, d0, d1, bands = (list(c) for c in zip(*found)) if found else ([], [], [], [])
             digests = {"d0": pd.array(d0, "Int64"), "d1": pd.array(d1, "Int64")}  # a float would round them
-            yield pd.DataFrame({"key": batch["key"].array, "n_shingles": sizes, **digests, "bands": bands})
+            yield pd.DataFrame({"n_shingles": sizes, **digests, "bands": bands})
 
-    return df.select(df[key].alias("key"), df[text].alias("text")).mapInPandas(
-        of, f"key {kind}, n_shingles long, d0 long, d1 long, bands array<long>"
-    )
+    sketch = F.pandas_udf(of, "n_shingles long, d0 long, d1 long, bands array<long>")
+    return rows.select("row", "key", sketch("text").alias("s")).select("row", "key", "s.*")
 
 
 def _clusters(nodes: DataFrame) -> DataFrame:
@@ -227,15 +231,21 @@ def groups(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row of ``df``."""
-    rows = durable(sketched(df, key, text, length, percent))
+    texts = numbered(df, key, text)
+    rows = durable(sketched(texts, length, percent))
     whole = rows.where("n_shingles > 0")
     nodes = durable(
         whole.groupBy("d0", "d1")
-        .agg(F.min("key").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .agg(
+            F.min("key").alias("least"),
+            F.min("row").alias("row"),
+            F.first("n_shingles").alias("n_shingles"),
+            F.first("bands").alias("bands"),
+        )
         .withColumn("node", F.monotonically_increasing_id())
     )
     placed = _clusters(nodes)
-    found = _links(df, key, text, length, percent, nodes, placed)
+    found = _links(texts, length, percent, nodes, placed)
     joined = components(found)
     least = nodes.select("node", "least")
     by_root = joined.join(least, "node").groupBy("root").agg(F.min("least").alias("component_id"))
@@ -248,30 +258,28 @@ def groups(
     return full.union(empty).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
 
 
-def _links(
-    df: DataFrame, key: str, text: str, length: int, percent: int, nodes: DataFrame, placed: DataFrame
-) -> DataFrame:
-    """Verified links (a, b) that connect what links connect."""
-    wanted = placed.join(nodes.select("node", "least", "d0", "d1"), "node")
-    texts = df.select(df[key].alias("least_"), df[text].alias("text"))
-    block = F.pmod(F.hash("node"), F.col("blocks"))
-    with_text = (
-        wanted.join(texts, F.col("least").eqNullSafe(F.col("least_")))
-        .select("node", "cluster", "hub", "blocks", "d0", "d1", "text")
-        .withColumn("block", block)
+def _with_text(texts: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
+    """The nodes of ``placed``, each with one text of its set.
+
+    Texts are fetched by the number of one row, not by key, so a key of many rows multiplies nothing.
+    """
+    return (
+        placed.join(nodes.select("node", "row"), "node")
+        .join(texts.select("row", "text"), "row")
+        .select("node", "cluster", "hub", "blocks", "text")
+        .withColumn("block", F.pmod(F.hash("node"), F.col("blocks")))
     )
 
-    def sets_of(pdf: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray]]:
-        """Rows with the set their node stands for; rows that only bear the same key are left out."""
-        sets = [shingles(t, length) for t in pdf["text"]]
-        digest = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
-        right = [int(d[0]) == a and int(d[1]) == b for d, a, b in zip(digest, pdf["d0"], pdf["d1"])]
-        fit = pdf[["node", "hub"]].assign(at=np.arange(len(pdf)), root=pdf.get("root", 0), other=pdf.get("other", False))
-        fit = fit[right].drop_duplicates(["node", "other"])
-        return fit.reset_index(drop=True), [sets[k] for k in fit["at"]]
-
-    def within(ids: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, sets = sets_of(pdf)
+
+def _links(texts: DataFrame, length: int, percent: int, nodes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Verified links (a, b) that connect what links connect."""
+    with_text = _with_text(texts, nodes, placed)
+
+    def sets_of(pdf: pd.DataFrame) -> list[np.ndarray]:
+        return [shingles(t, length) for t in pdf["text"]]
+
+    def within(ids: tuple, fit: pd.DataFrame) -> pd.DataFrame:
+        sets = sets_of(fit)
         at_hub = (fit["node"] == fit["hub"]).to_numpy()
         order = np.concatenate([np.flatnonzero(at_hub), np.flatnonzero(~at_hub)])
         everything = np.arange(len(fit))
@@ -312,8 +320,8 @@ def _links(
         F.lit(False).alias("other"),
     )
 
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
-        fit, sets = sets_of(pdf)
+    def across(fit: pd.DataFrame) -> pd.DataFrame:
+        sets = sets_of(fit)
         forest = link_block(
             sets, fit["other"].to_numpy(), fit["root"].to_numpy(), percent, np.arange(len(fit))
         )
