@@ -109,6 +109,28 @@ def test_a_key_of_many_rows_multiplies_nothing(spark, monkeypatch, key):
     assert fetched[0].count() == fetched[0].select("node").distinct().count() == 120
 
 
+def test_rows_are_kept_by_row_not_by_key(spark):
+    rng = random.Random(9)
+    a, b, c, d = ([f"w{rng.randrange(10**6)}" for _ in range(60)] for _ in range(4))
+    whole = lambda words: " ".join(words)
+    near = lambda words: " ".join(words[:-1])
+    big = 2**60 + 1
+    rows = [
+        (5, whole(a), 1), (5, whole(b), 2),  # one key, two groups: both stay
+        (3, near(b), 3),  # and the second text's group is named by another key, so it goes
+        (None, whole(c), 4), (None, whole(c), 5), (None, near(c), 6),  # a group without a key keeps one row
+        (None, near(a), 7),  # goes with its named copy
+        (big, whole(d), 8), (big, whole(d), 8),
+        (9, "", 9), (9, "", 9), (None, "", 10), (None, None, 11),
+    ]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = neardup.deduplicate(table).collect()
+    assert sorted(r.n for r in kept if r.n not in (4, 5, 6)) == [1, 3, 8, 9, 10, 11]
+    assert sum(r.n in (4, 5, 6) for r in kept) == 1
+    assert {r.doc_id for r in kept} == {5, 3, None, big, 9}
+    assert neardup.groups(table).where("kept").count() == len(kept)
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 2**63, 4000).astype(np.uint64)

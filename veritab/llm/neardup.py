@@ -19,8 +19,10 @@ clusters only mean more blocks.
 
 Defined cases: text without words, empty or null, has an empty set, is linked with nothing and kept. Fewer words
 than a shingle has make one shingle. Null keys take part; a group's id is its smallest non-null key, null if it has
-none. Repeated rows fall in one group; ``deduplicate`` keeps one of them. Only key and text are read. An empty table
-gives no rows.
+none. One row of a group is kept: the first by key (nulls last), digest of its set, hash of its text and row number,
+so rows of other groups stay whatever key they share, and rows without a key go like others. Repeated rows fall in one
+group; of rows without words, those with equal text under one key that isn't null are repeated rows, of which one is
+kept. Only key and text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.llm.columns import fresh_name
@@ -178,13 +180,9 @@ def link_block(
     return forest
 
 
-def numbered(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, text) of ``df``, written once, so that a row keeps its number however often it is read."""
-    return durable(df.select(F.monotonically_increasing_id().alias("row"), df[key].alias("key"), df[text].alias("text")))
-
-
 def sketched(rows: DataFrame, length: int, percent: int) -> DataFrame:
-    """(row, key, n_shingles, d0, d1, bands) of each of ``rows``; d0, d1: digest of its set, null for an empty one."""
+    """(row, key, text_hash, n_shingles, d0, d1, bands) of each of ``rows``; d0, d1: digest of its set, null for an
+    empty one."""
     bound_batches(rows.sparkSession)
     band = band_rows(percent)
 
@@ -203,7 +201,8 @@ def sketched(rows: DataFrame, length: int, percent: int) -> DataFrame:
             yield pd.DataFrame({"n_shingles": sizes, **digests, "bands": bands})
 
     sketch = F.pandas_udf(of, "n_shingles long, d0 long, d1 long, bands array<long>")
-    return rows.select("row", "key", sketch("text").alias("s")).select("row", "key", "s.*")
+    hashed = rows.select("row", "key", F.xxhash64("text").alias("text_hash"), sketch("text").alias("s"))
+    return hashed.select("row", "key", "text_hash", "s.*")
 
 
 def _clusters(nodes: DataFrame) -> DataFrame:
@@ -230,32 +229,45 @@ def _clusters(nodes: DataFrame) -> DataFrame:
 def groups(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """(key, n_shingles, component_id, kept) of each row of ``df``."""
-    texts = numbered(df, key, text)
+    """(key, n_shingles, component_id, kept) of each row of ``df``; one row of each component is kept."""
+    texts = durable(df.select(F.monotonically_increasing_id().alias("row"), df[key].alias("key"), df[text].alias("text")))
+    return _judged(texts, length, percent).drop("row")
+
+
+def _judged(texts: DataFrame, length: int, percent: int) -> DataFrame:
+    """(row, key, n_shingles, component_id, kept) of each of ``texts`` (row, key, text), a table with distinct ``row``."""
     rows = durable(sketched(texts, length, percent))
     whole = rows.where("n_shingles > 0")
+    order = F.struct(F.col("key").isNull().alias("nameless"), "key", "d0", "d1", "text_hash", "row")
     nodes = durable(
         whole.groupBy("d0", "d1")
-        .agg(
-            F.min("key").alias("least"),
-            F.min("row").alias("row"),
-            F.first("n_shingles").alias("n_shingles"),
-            F.first("bands").alias("bands"),
-        )
-        .withColumn("node", F.monotonically_increasing_id())
+        .agg(F.min(order).alias("best"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+        .select("*", F.col("best.row").alias("row"), F.monotonically_increasing_id().alias("node"))
     )
     placed = _clusters(nodes)
     found = _links(texts, length, percent, nodes, placed)
     joined = components(found)
-    least = nodes.select("node", "least")
-    by_root = joined.join(least, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.join(by_root, "root").select("node", "component_id")
-    of_set = nodes.join(named, "node", "left").select(
-        "d0", "d1", F.coalesce("component_id", "least").alias("component_id")
+    best = nodes.select("node", "best")
+    by_root = joined.join(best, "node").groupBy("root").agg(F.min("best").alias("first"))
+    named = joined.join(by_root, "root").select("node", "first")
+    of_set = nodes.join(named, "node", "left").select("d0", "d1", F.coalesce("first", "best").alias("first"))
+    full = whole.join(of_set, ["d0", "d1"]).select(
+        "row",
+        "key",
+        "n_shingles",
+        F.col("first.key").alias("component_id"),
+        (F.col("row") == F.col("first.row")).alias("kept"),
+    )
+    empty = rows.where("n_shingles = 0")
+    once = empty.where("key IS NOT NULL").groupBy("key", "text_hash").agg(F.min("row").alias("row"))
+    alone = empty.join(once.select("row", F.lit(True).alias("first")), "row", "left").select(
+        "row",
+        "key",
+        "n_shingles",
+        F.col("key").alias("component_id"),
+        (F.col("key").isNull() | F.coalesce("first", F.lit(False))).alias("kept"),
     )
-    full = whole.join(of_set, ["d0", "d1"]).select("key", "n_shingles", "component_id")
-    empty = rows.where("n_shingles = 0").select("key", "n_shingles", F.col("key").alias("component_id"))
-    return full.union(empty).withColumn("kept", F.col("key").eqNullSafe(F.col("component_id")))
+    return full.union(alone)
 
 
 def _with_text(texts: DataFrame, nodes: DataFrame, placed: DataFrame) -> DataFrame:
@@ -336,15 +348,9 @@ def _links(texts: DataFrame, length: int, percent: int, nodes: DataFrame, placed
 def deduplicate(
     df: DataFrame, key: str = "doc_id", text: str = "text", length: int = SHINGLE, percent: int = PERCENT
 ) -> DataFrame:
-    """One row of ``df`` for each group. Rows with a null key can't be named, and all stay."""
-    mark, place = fresh_name(df, "_kept"), fresh_name(df, "_place")
-    kept = (
-        groups(df, key, text, length, percent)
-        .where("kept AND key IS NOT NULL")
-        .select(F.col("key").alias(mark))
-        .distinct()
-    )
-    named = df.join(kept, df[key] == kept[mark])
-    one = named.withColumn(place, F.row_number().over(Window.partitionBy(mark).orderBy(F.xxhash64(text))))
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return one.where(F.col(place) == 1).select(*columns).union(df.where(df[key].isNull()).select(*columns))
+    """One row of ``df`` for each group, chosen by row, not by key."""
+    row = fresh_name(df, "_row")
+    rows = durable(df.withColumn(row, F.monotonically_increasing_id()))
+    texts = rows.select(F.col(row).alias("row"), rows[key].alias("key"), rows[text].alias("text"))
+    kept = _judged(texts, length, percent).where("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
