@@ -809,15 +809,11 @@ def recall(spark, folder):
     return churn.recall(_guess(spark, folder), "quality")
 
 
-#: A small grid for the registered runs; ``churn.GRID`` is the full one.
-SMALL_GRID = {"maxDepth": [3, 5], "minInstancesPerNode": [5], "stepSize": [0.3], "maxIter": [5]}
-
-
 @lru_cache(maxsize=2)
 def _tuned(spark: SparkSession, folder: str):
     split = durable(churn.stratified_split(_labelled(spark, folder), "quality", ["doc_id"]))
     train = split.filter("split = 'train'")
-    return split, churn.tune_boosted_trees(train, FEATURES, "quality", SMALL_GRID, folds=3)
+    return split, churn.tune_boosted_trees(train, FEATURES, "quality", churn.GRID, folds=5)
 
 
 @query

@@ -138,3 +138,16 @@ def test_stream(spark, tmp_path):
     stream = read_files(spark, str(tmp_path / "in"), "doc_id string, n long")
     drain(stream, lambda df: df.filter("doc_id > '4'"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_registered_boosted_trees_search_the_whole_grid(spark, monkeypatch):
+    from catalog import queries
+
+    asked = []
+    monkeypatch.setattr(churn, "tune_boosted_trees", lambda *args, **more: asked.append((args, more)))
+    queries._tuned.__wrapped__(spark, "/root/testdata/sf0.001")
+    (train, features, label, grid), more = asked[0]
+    assert grid == churn.GRID and more == {"folds": 5} and label == "quality" and features == queries.FEATURES
+    assert [len(v) for v in grid.values()] == [2, 2, 3, 2]
+    n = queries._labelled(spark, "/root/testdata/sf0.001").count()
+    assert abs(train.count() - 0.6 * n) <= 2
