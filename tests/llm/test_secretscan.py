@@ -69,6 +69,24 @@ def test_formats_find_unlabelled_keys_and_leave_prose():
         assert not secretscan.spans(text, formats)
 
 
+def test_parts_of_runs_and_short_keys_are_scored():
+    formats = secretscan.learn_formats({"hex": hexes(150, 40, 1)})
+    key = hexes(1, 22, 9)[0]
+    for before, after in (("auth=", ""), ("/home/user/", "/file.txt"), ("Zusammenfassung.", "-"), ("x_", "_YZWXQ=")):
+        text = f"some {before}{key}{after} words"
+        found = [text[a:b].strip("=/.-_") for a, k, b in secretscan.spans(text, formats) if k == 3]
+        assert found == [key], text
+    named = f"{'0123456789abcdef' * 2}ZZZ-{key}"  # the first part is a pattern's span
+    assert [named[a:b] for a, k, b in secretscan.spans(named, formats) if k == 3] == [key]
+
+    rng = random.Random(4)
+    pins = ["".join(rng.choice("0123456789") for _ in range(10)) for _ in range(150)]
+    short = secretscan.learn_formats({"assign": pins[:120]})
+    assert short.shortest == 10
+    assert sum(any(k == 3 for _, k, _ in secretscan.spans(f"call {p} now", short)) for p in pins[120:]) >= 27
+    assert not secretscan.spans("internationally understandable words everywhere", short)
+
+
 @pytest.fixture(scope="module")
 def formats(documents):
     return secretscan.train(documents)
