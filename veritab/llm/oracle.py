@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from veritab.llm import sharding
 from veritab.llm.licences import TEMPLATES
 
+#: Bytes that a document takes besides its text.
+ROW_BYTES = 16
+
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ODDS = "ln(prior / (1 - prior)) + " + " + ".join(
@@ -168,4 +172,44 @@ FROM named LEFT JOIN (SELECT path AS p, own, cosine FROM of_file) ON path IS NOT
 LEFT JOIN nearest USING (folder)
 """
 
-ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op3_source_mixing": OP3, "op9_license_scans": OP9}
+def _round_hash(x: str, key: str) -> str:
+    """The hash of a Feistel round, as SQL."""
+    first = f"(({x}::HUGEINT * {sharding.FIRST} + {key}) % 4294967296)::BIGINT"
+    mixed = f"((xor({first}, {first} >> 15)::HUGEINT * {sharding.SECOND}) % 4294967296)::BIGINT"
+    return f"xor({mixed}, {mixed} >> 13)"
+
+
+OP11 = rf"""
+WITH RECURSIVE crc_table AS (
+    SELECT list(c ORDER BY b) AS t FROM (
+        SELECT b, list_reduce(list_prepend(b, range(8)), lambda c, i:
+            CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+        FROM range(256) AS r(b))
+), given AS (
+    SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) - 1 AS row,
+        list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes
+    FROM documents
+), bounds AS (
+    SELECT n, half, (1::BIGINT << half) - 1 AS mask,
+        list_transform(range({sharding.ROUNDS}), lambda r:
+            ({sharding.SEED} * {sharding.FIRST} + r * {sharding.SECOND} + 1) % 4294967296) AS keys
+    FROM (SELECT count(*) AS n, greatest(1, (length(bin(greatest(count(*) - 1, 0))) + 1) // 2) AS half FROM documents)
+), walk AS (
+    SELECT row, row >> half AS l, row & mask AS r, 0 AS k FROM given, bounds
+    UNION ALL
+    SELECT row, CASE WHEN k < {sharding.ROUNDS} THEN r ELSE l END,
+        CASE WHEN k < {sharding.ROUNDS} THEN xor(l, {_round_hash("r", "keys[k + 1]")} & mask) ELSE r END,
+        CASE WHEN k < {sharding.ROUNDS} THEN k + 1 ELSE 0 END
+    FROM walk, bounds WHERE k < {sharding.ROUNDS} OR ((l << half) | r) >= n
+), permuted AS (
+    SELECT row, (l << half) | r AS p FROM walk, bounds WHERE k = {sharding.ROUNDS} AND ((l << half) | r) < n
+)
+SELECT doc_id, len(bytes) + {ROW_BYTES} AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])),
+        4294967295) AS text_crc32,
+    'rows' AS law, (p % {sharding.SHARDS})::INTEGER AS shard, p // {sharding.SHARDS} AS slot,
+    NULL::INTEGER AS grown_shard, row AS row_number
+FROM given JOIN permuted USING (row), crc_table
+"""
+
+ORACLE: dict[str, str] = {"op1_quality_rules": OP1, "op3_source_mixing": OP3, "op9_license_scans": OP9, "op11_sharding": OP11}

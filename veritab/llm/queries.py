@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veritab.llm import language, licences, maintext, mixing, neardup, pieces, quality, secretscan, simhash, urlrules
+from veritab.llm import (
+    alignment,
+    language,
+    licences,
+    maintext,
+    mixing,
+    neardup,
+    pieces,
+    quality,
+    secretscan,
+    sharding,
+    simhash,
+    urlrules,
+    whitening,
+)
 from veritab.session import durable
 
 #: Words below which a document fails the base rule.
@@ -180,6 +194,51 @@ def op10_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Bytes that a document takes besides its text.
+ROW_BYTES = 16
+
+
+def op11_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    sizes = _read(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    dealt = sharding.shard(durable(sizes))
+    return dealt.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+        "row_number",
+    )
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = _read(spark, folder, "embeddings").select("vec_id", "embedding")
+    whitened = whitening.whiten(vectors)
+    return whitened.select(
+        "vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("place", "value")
+    ).select(
+        "vec_id",
+        (F.col("place") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        F.col("value").alias("whitened"),
+        F.col("explained")[F.col("place")].alias("explained"),
+        "identity_error",
+    )
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _read(spark, folder, "documents").select("doc_id", "text")
+    return alignment.align(documents, keep=["doc_id"], digest=True).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
@@ -191,4 +250,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scans": op9_license_scans,
     "op10_secret_scans": op10_secret_scans,
+    "op11_sharding": op11_sharding,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_alignment": op13_token_alignment,
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -11,6 +13,8 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Rows in one Arrow batch at most, so that a batch of very long texts still fits in a worker.
 BATCH_ROWS = 256
+#: Below the size of an empty batch Spark would never fill one.
+LEAST_BATCH = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -46,3 +50,18 @@ def bound_batches(spark: SparkSession) -> None:
     now = int(spark.conf.get(key, "10000"))
     if not 0 < now <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Within it, Arrow batches that Spark fills end after about ``size`` bytes (LEAST_BATCH at least)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(max(size, LEAST_BATCH)))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
