@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veritab.llm import language, mixing, neardup, pieces, secretscan
+from veritab.llm.columns import fresh_name
 from veritab.session import durable
 
 LEAST_SCORE = 0.5
@@ -26,8 +27,9 @@ SHINGLE, PERCENT = 5, 80
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     told = language.identify(docs, language.train(docs))
-    kept = told.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    predicted, score = (F.col(f"`{fresh_name(docs, c)}`") for c in ("lang_pred", "score"))  # as identify names them
+    kept = told.where((predicted != language.UNDETERMINED) & (score >= LEAST_SCORE))
+    return kept.withColumn("lang", F.coalesce("lang", predicted)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
