@@ -3,18 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import product
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
-from pyspark.sql import Column, DataFrame
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.numbers import round_half_even
+from veritab.operators.boosting import SAMPLE_ROWS, Model, Tuned, dependence, tune
 from veritab.operators.quantiles import group_quantiles, group_ranks
 
 SPLITS = ("train", "validate", "test")
@@ -24,7 +18,7 @@ SHARES = (0.6, 0.2, 0.2)
 # customary depth of boosted trees left at their default.
 GRID = {
     "maxDepth": [8, 6],
-    "minInstancesPerNode": [1, 5],
+    "minChildWeight": [1, 5],
     "stepSize": [0.2, 0.3, 0.4],
     "maxIter": [50, 100],
 }
@@ -56,39 +50,18 @@ def stratified_split(
     )
 
 
-def _recall(label: str, prediction: str = "prediction") -> MulticlassClassificationEvaluator:
-    return MulticlassClassificationEvaluator(
-        labelCol=label, predictionCol=prediction, metricName="recallByLabel", metricLabel=1.0
-    )
-
-
 def tune_boosted_trees(
     train: DataFrame, features: Sequence[str], label: str, grid: dict[str, list] | None = None,
-    folds: int = 5, seed: int = 42, parallelism: int = 4,
-) -> CrossValidatorModel:
-    """Cross-validated grid search, refitted with the best recall of class 1."""
-    trees = GBTClassifier(featuresCol="_features", labelCol=label, seed=seed)
-    chosen = grid or GRID
-    maps = [
-        {trees.getParam(k): v for k, v in zip(chosen, values)} for values in product(*chosen.values())
-    ]
-    return CrossValidator(
-        estimator=Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), trees]),
-        estimatorParamMaps=maps,
-        evaluator=_recall(label),
-        numFolds=folds,
-        seed=seed,
-        parallelism=parallelism,
-    ).fit(train)
-
-
-def grid_results(tuned: CrossValidatorModel, spark) -> DataFrame:
+    folds: int = 5, seed: int = 42, sample_rows: int = SAMPLE_ROWS,
+) -> Tuned:
+    """Cross-validated grid search, refitted with the best recall of class 1; fitted on ``sample_rows`` rows at most."""
+    return tune(train, features, label, grid or GRID, folds, seed, sample_rows)
+
+
+def grid_results(tuned: Tuned, spark) -> DataFrame:
     """One row per parameter set with its mean recall, best first."""
-    rows = [
-        (*(float(v) for v in params.values()), float(metric))
-        for params, metric in zip(tuned.getEstimatorParamMaps(), tuned.avgMetrics)
-    ]
-    names = [p.name for p in tuned.getEstimatorParamMaps()[0]]
+    names = list(tuned.parameters[0])
+    rows = [(*(p[n] for n in names), recall) for p, recall in zip(tuned.parameters, tuned.recalls)]
     schema = ", ".join(f"{n} double" for n in [*names, "recall"])
     return spark.createDataFrame(rows, schema).orderBy(F.col("recall").desc(), *names)
 
@@ -115,36 +88,20 @@ def recall(predicted: DataFrame, label: str, prediction: str = "prediction") ->
     )
 
 
-def feature_importances(model: PipelineModel, features: Sequence[str], spark) -> DataFrame:
+def feature_importances(model: Model, features: Sequence[str], spark) -> DataFrame:
     """(feature, importance), most important first."""
-    weights = model.stages[-1].featureImportances.toArray()
-    rows = [(f, round(float(w), 4)) for f, w in zip(features, weights)]
+    rows = [(f, round(float(w), 4)) for f, w in zip(features, model.importances())]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.col("importance").desc(), "feature"
     )
 
 
-def partial_dependence(
-    model: PipelineModel, df: DataFrame, features: Sequence[str], points: int = 10
-) -> DataFrame:
-    """(feature, value, average_probability): mean prediction with one feature set to a value.
+def partial_dependence(model: Model, df: DataFrame, features: Sequence[str], points: int = 10) -> DataFrame:
+    """(feature, value, average_probability): mean prediction over all rows with one feature set to a value.
 
-    The values are evenly spaced quantiles of the feature; each row is exploded over them,
-    so the work is rows times points and nothing is joined.
+    The values are evenly spaced quantiles of the feature. All features and values are averaged in one pass.
     """
-    inputs = list(model.stages[0].getInputCols())
     quantiles = [i / (points - 1) for i in range(points)]
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in inputs))
-    curves = None
-    for feature in features:
-        grid = sorted({r["value"] for r in group_quantiles(rows, [], feature, quantiles).collect()})
-        grid_column: Column = F.explode(F.array(*(F.lit(v) for v in grid)))
-        moved = rows.withColumn(feature, grid_column)
-        curve = (
-            model.transform(moved)
-            .groupBy(F.col(feature).alias("value"))
-            .agg(F.avg(vector_to_array("probability")[1]).alias("average_probability"))
-            .select(F.lit(feature).alias("feature"), "value", "average_probability")
-        )
-        curves = curve if curves is None else curves.unionByName(curve)
-    return curves
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in features))
+    grid = {f: sorted({r["value"] for r in group_quantiles(rows, [], f, quantiles).collect()}) for f in features}
+    return dependence(model, df, grid, df.sparkSession)
