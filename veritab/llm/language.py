@@ -21,6 +21,7 @@ an empty table gives no rows; other columns are kept and never read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from veritab.llm.columns import fresh_name
 from veritab.llm.lattice import Trie, backward, forward
 from veritab.llm.vocabulary import SPACE, VOCABULARY, bound_batches, load
+from veritab.llm.worker import held
 from veritab.session import durable
 
 PER_LANGUAGE = 1000
@@ -43,7 +45,9 @@ UNKNOWN_LETTER = 1e-6
 #: Words whose lattices are held at once.
 AT_ONCE = 4096
 #: Scored words that a worker keeps; once there are more, the half used most stays.
-KEPT_WORDS = 240_000
+KEPT_WORDS = 150_000
+#: Characters of the words that a worker keeps.
+KEPT_CHARACTERS = 4_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -177,9 +181,11 @@ class _Tokens(dict):
 
     def __init__(self) -> None:
         self.new: list[str] = []
+        self.characters = 0
 
     def __missing__(self, token: str) -> int:
         self[token] = k = len(self)
+        self.characters += len(token)
         self.new.append(token)
         return k
 
@@ -203,6 +209,7 @@ class Scorer:
         names = list(self.tokens)
         tokens = _Tokens()
         tokens.update((names[k], place) for place, k in enumerate(kept.tolist()))
+        tokens.characters = sum(map(len, tokens))
         self.tokens, self.scores, self.lettered = tokens, self.scores[kept], self.lettered[kept]
         self.uses = np.zeros(len(kept), np.int64)
 
@@ -221,7 +228,9 @@ class Scorer:
         self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int64)])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.tokens) > KEPT_WORDS:
+        if self.tokens.characters > KEPT_CHARACTERS:
+            self.clear()
+        elif len(self.tokens) > KEPT_WORDS:
             self._forget()
         place = self.tokens.__getitem__
         at = [np.fromiter(map(place, (t or "").lower().split()), np.int64) for t in texts]
@@ -241,21 +250,16 @@ class Scorer:
         return names, scores
 
 
-#: The worker's scorer, which outlives a task.
-_SCORERS: dict[str, Scorer] = {}
-
-
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score`` (underscores are added to names it has already)."""
     spark: SparkSession = df.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    name_of_scorer = f"scorer {uuid.uuid4().hex}"
 
     @F.pandas_udf("lang string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer = _SCORERS.get("last")
-        if scorer is None or scorer.model is not shared.value:
-            scorer = _SCORERS["last"] = Scorer(shared.value)
+        scorer = held(name_of_scorer, lambda: Scorer(shared.value))
         for batch in batches:
             names, scores = scorer.predict(batch.where(batch.notna(), None).tolist())
             yield pd.DataFrame({"lang": names, "score": scores})

@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from veritab.llm.columns import fresh_name
 from veritab.llm.components import components
 from veritab.llm.vocabulary import bound_batches
+from veritab.llm.worker import held
 from veritab.session import durable
 
 SHINGLE = 3
@@ -52,6 +53,8 @@ BLOCK_NODES, BLOCK_SHINGLES = 1000, 4_000_000
 #: Standard deviations that an estimate may lie below the threshold and still be verified.
 MARGIN = 5.0
 KEPT_WORDS = 200_000
+#: Bytes of those words.
+KEPT_BYTES = 8_000_000
 
 _random = np.random.Generator(np.random.PCG64(20240229))
 FACTORS = _random.integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -69,24 +72,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 class _Words(dict):
     """64-bit hashes of words; most words come again."""
 
+    size = 0
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= KEPT_WORDS:
+        self.size += len(word)
+        if len(self) >= KEPT_WORDS or self.size > KEPT_BYTES:
             self.clear()
+            self.size = len(word)
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
-_WORDS = _Words()
-
-
 def shingles(text: str | None, length: int = SHINGLE) -> np.ndarray:
     """The sorted distinct shingle hashes of a text. Bytes methods split and lower exactly the ASCII characters."""
     found = (text or "").encode().lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, found), np.uint64, len(found))
+    h = np.fromiter(map(held("word hashes", _Words).__getitem__, found), np.uint64, len(found))
     width = min(length, len(h))
     total = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):

@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from veritab.llm.columns import fresh_name
 from veritab.llm.lattice import Trie, forward
 from veritab.llm.vocabulary import SPACE, VOCABULARY, Vocabulary, bound_batches, load
+from veritab.llm.worker import held
 
 SHARPNESS = 1.0
 SEED = 1
 #: States (characters of distinct units) that a worker keeps before it starts anew.
-KEPT_STATES = 1_200_000
+KEPT_STATES = 600_000
 #: Weight of a character written as bytes.
 IN_BYTES = 1e-9
 
@@ -186,16 +187,6 @@ class Decoder:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-_HELD: dict[str, object] = {}
-
-
-def _held(name: str, make):
-    """One object for each name in a worker process."""
-    if name not in _HELD:
-        _HELD[name] = make()
-    return _HELD[name]
-
-
 def encode(
     df: DataFrame,
     key: str = "doc_id",
@@ -212,7 +203,7 @@ def encode(
 
     @F.pandas_udf("array<int>")
     def sampled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        sampler = _held(name, lambda: Sampler(shared.value, sharpness))
+        sampler = held(name, lambda: Sampler(shared.value, sharpness))
         for keys, texts in batches:
             yield pd.Series(sampler.encode(texts.where(texts.notna(), None).tolist(), keys.to_numpy(np.int64), seed))
 
@@ -226,7 +217,7 @@ def decode(df: DataFrame, ids: str = "piece_ids", vocabulary: str = VOCABULARY)
 
     @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder = _held(f"decoder {vocabulary}", lambda: Decoder(shared.value))
+        decoder = held(f"decoder {vocabulary}", lambda: Decoder(shared.value))
         for batch in batches:
             yield pd.Series([None if x is None else decoder.decode(x.tolist()) for x in batch], dtype=object)
 

@@ -11,8 +11,8 @@ from pyspark.sql import SparkSession
 #: Folder and file of the default vocabulary; a parameter wherever it is used.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Rows in one Arrow batch at most, so that a batch of very long texts still fits in a worker.
-BATCH_ROWS = 256
+#: Bytes after which Spark ends an Arrow batch, so that a batch of very long texts still fits in a worker.
+BATCH_BYTES = 1_000_000
 #: Below the size of an empty batch Spark would never fill one.
 LEAST_BATCH = 1 << 16
 
@@ -45,11 +45,10 @@ def load(path: str = VOCABULARY) -> Vocabulary:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Let no Arrow batch of this session have more than BATCH_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
-    if not 0 < now <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Let Arrow batches of this session end after about BATCH_BYTES; how many rows they have is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, str(2**31 - 1))) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 @contextmanager
