@@ -64,7 +64,9 @@ def op3_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.groups(_read(spark, folder, "documents")).withColumnRenamed("key", "doc_id")
+    grouped = neardup.groups(_read(spark, folder, "documents")).withColumnsRenamed({"key": "doc_id", "kept": "kept_row"})
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return grouped.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "kept_row")
 
 
 def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
