@@ -75,6 +75,11 @@ def select_sql(key: str, columns: dict[str, str], table: str = "part") -> str:
 MASTER_SQL = select_sql("p_partkey as row_idx", MASTER)
 DOCUMENT_SQL = select_sql(f"concat('D', {_KEY}) as doc_id", DOCUMENT)
 
+#: Every 97th bill is planted: its readings and amounts are far off all others.
+_PLANTED = {"stand_meter_awal": "900000000", "stand_meter_akhir": "990000000", "pemakaian_kwh": "90000000", "biaya_listrik": "999000000000"}
+PLANTED = DOCUMENT | {f: f"case when p_partkey % 97 = 0 then '{v}' else {DOCUMENT[f]} end" for f, v in _PLANTED.items()}
+PLANTED_SQL = select_sql(f"concat('D', {_KEY}) as doc_id", PLANTED)
+
 # Two printed pages per part; the last digit of the key decides which labels are odd.
 _LF = "chr(10)"
 _PAGE_1 = _by_digit(
@@ -119,6 +124,10 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return _cells(table(spark, folder, "part"), f"concat('D', {_KEY}) as doc_id", DOCUMENT)
 
 
+def planted(spark: SparkSession, folder: str) -> DataFrame:
+    return _cells(table(spark, folder, "part"), f"concat('D', {_KEY}) as doc_id", PLANTED)
+
+
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     both = F.expr(

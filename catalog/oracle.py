@@ -109,6 +109,18 @@ ORACLE["junk_drop"] = f"select * from {JUNK} where not coalesce(rank = 'e' and r
 ORACLE["non_numeric_rows"] = f"select * from {JUNK} where try_cast(rating as double) is null"
 ORACLE["non_numeric_count"] = f"select count(*) as non_numeric from {JUNK} where try_cast(rank as double) is null"
 ORACLE["value_count"] = f"""select count(*) filter (rank = 'e') as rank_is_e, count(*) filter (rating = 'N') as "rating_is_N" from {JUNK}"""
+_JUNK_COLUMNS = ("o_orderkey", "rank", "rating")
+ORACLE["observed_profile"] = " union all ".join(
+    [
+        f"""select 'rows' as metric, cast(null as varchar) as "column", count(*) as value from {JUNK}""",
+        "select 'columns', null, 3", "select 'numeric_columns', null, 1", "select 'text_columns', null, 2",
+        f"select 'total_nulls', null, sum((rank is null)::int + (rating is null)::int)::bigint from {JUNK}",
+    ]
+    + [f"select 'nulls', '{c}', count(*) filter ({c} is null) from {JUNK}" for c in _JUNK_COLUMNS]
+    + [f"select 'non_null', '{c}', count({c}) from {JUNK}" for c in _JUNK_COLUMNS]
+    + [f"select 'non_numeric', '{c}', count(*) filter (try_cast({c} as double) is null) from {JUNK}" for c in ("rank", "rating")]
+    + [f"select 'equals', '{c}', count(*) filter ({c} = '{v}') from {JUNK}" for c, v in (("rank", "e"), ("rating", "N"))]
+)
 ORACLE["dropna_subset"] = f"select * from {JUNK} where rating is not null"
 ORACLE["domain_check"] = """
 with o as (select o_orderkey, case when o_orderkey % 9 = 0 then '' when o_orderkey % 8 = 0 then null else o_orderstatus end as status from orders)
@@ -479,6 +491,18 @@ cells as ({_cells(True)})
 select cast(doc_id as bigint) as row_idx, cast(doc_id as bigint) + 1 as row_number,
  cast(count(*) filter (match_status = 'MATCH') as int) as match_count,
  {half_even("count(*) filter (match_status = 'MATCH') / 11.0 * 100", 1)} as match_percentage from cells group by doc_id"""
+_BRAND = "case when {key} % 3 = 0 then 'THIRD' else regexp_extract(alamat, ', ([^,]*)$', 1) end"
+_NUMBER = "cast(substring(doc_id, 2) as bigint)"
+ORACLE["all_rows_blocked"] = f"""
+with {_BASE}, own as (select doc_id, row_idx from (select doc_id, {_BRAND.format(key=_NUMBER)} as block from d where {_NUMBER} % 20 = 0)
+ join (select row_idx, {_BRAND.format(key='row_idx')} as block from m) using (block)),
+{pair_scores('own', 'n', 'xn')}, {pair_scores('own', 'a', 'xa')},
+j as materialized (select d.doc_id || '/' || m.row_idx as doc_id, m.row_idx, {_SIDES}, coalesce(xn.s, 0) as name_s, coalesce(xa.s, 0) as addr_s
+ from own join d using (doc_id) join m using (row_idx) left join xn using (doc_id, row_idx) left join xa using (doc_id, row_idx)),
+cells as ({_cells(True)})
+select split_part(doc_id, '/', 1) as doc_id, cast(split_part(doc_id, '/', 2) as bigint) as row_idx, cast(split_part(doc_id, '/', 2) as bigint) + 1 as row_number,
+ cast(count(*) filter (match_status = 'MATCH') as int) as match_count,
+ {half_even("count(*) filter (match_status = 'MATCH') / 11.0 * 100", 1)} as match_percentage from cells group by all"""
 _SUMMARY = f"""sums as (select doc_id, cast(count(*) filter (match_status = 'MATCH') as int) as total_match,
  cast(count(*) filter (match_status = 'MISMATCH') as int) as total_mismatch, cast(count(*) filter (match_status = 'MISSING') as int) as total_missing,
  {half_even("count(*) filter (match_status = 'MATCH') / 11.0 * 100", 1)} as match_percentage from cells group by doc_id)"""
@@ -488,6 +512,7 @@ _SUMMARY_SELECT = """select doc_id, row_idx as matched_row_index, row_idx + 1 as
  case when match_percentage = 100 then 'VERIFIED' when match_percentage >= 70 then 'PARTIAL MATCH' else 'MISMATCH' end as report_status
  from sums join best using (doc_id)"""
 ORACLE["crosscheck_summary"] = f"with {_MATCHED}, {_SUMMARY} {_SUMMARY_SELECT}"
+ORACLE["stream_crosscheck"] = ORACLE["crosscheck_summary"]
 _FLAT = ORACLE["extract_flat"].removeprefix(f"with {_extracted()} ")
 _FROM_PAGES = _MATCHED.replace(f"d as materialized ({bills.DOCUMENT_SQL})", f"{_extracted()}, d as materialized ({_FLAT})")
 ORACLE["crosscheck_from_pages"] = f"with {_FROM_PAGES}, {_SUMMARY} {_SUMMARY_SELECT}"
@@ -569,7 +594,8 @@ select p_partkey, {half_even('(p_size - m1) / s1', 6)} as size, {half_even('(p_r
 ORACLE["isolation_share"] = """
 select count(*) as n, count(*) filter (o_orderkey % 500 = 0) as planted, count(*) filter (o_orderkey % 500 = 0) as found from orders"""
 ORACLE["anomaly_batch"] = f"""
-with {_flags(bills.DOCUMENT_SQL, 'doc_id')} select doc_id, cast(count(field) as int) as flags, true as label_fits from src left join flags using (doc_id) group by doc_id"""
+with {_flags(bills.PLANTED_SQL, 'doc_id')} select doc_id, cast(count(field) as int) as flags, {_NUMBER} % 97 = 0 as planted, {_NUMBER} % 97 = 0 as found
+from src left join flags using (doc_id) group by doc_id"""
 ORACLE["crosscheck_report"] = f"""
 with {_MATCHED}, {_flags(bills.DOCUMENT_SQL, 'doc_id')}
 select 'detail' as name, count(*) as n from cells union all select 'summary', count(*) from d

@@ -458,6 +458,13 @@ def stream_rules(spark, folder):
     return spark.read.schema("doc_id string, flags int").parquet(f"{target}/out")
 
 
+@query
+def observed_profile(spark, folder):
+    """Junk rows of both kinds, profiled in the pass that writes them."""
+    junk = _with_junk(spark, folder)
+    return profile.profile_beside_write(junk, _run_folder(spark), {"rank": "e", "rating": "N"}, ["rank", "rating"])
+
+
 # --- extraction -------------------------------------------------------------------------
 
 
@@ -614,6 +621,19 @@ def all_rows(spark, folder):
     return done.select("row_idx", "row_number", "match_count", "match_percentage")
 
 
+@query
+def all_rows_blocked(spark, folder):
+    """Every 20th document against all rows of its brand; a third of all keys is one block."""
+
+    def block(key: str, address: str):
+        return F.expr(f"if({key} % 3 = 0, 'THIRD', regexp_extract({address}, ', ([^,]*)$', 1))")
+
+    key = "cast(substring(doc_id, 2) as bigint)"
+    asked = bills.documents(spark, folder).filter(f"{key} % 20 = 0")
+    done = compare.compare_with_block_rows(asked, bills.master(spark, folder), block(key, "alamat"), block("row_idx", "Alamat"))
+    return done.select("doc_id", "row_idx", "row_number", "match_count", "match_percentage")
+
+
 @lru_cache(maxsize=2)
 def _checked(spark, folder):
     """The checked and scored documents, written once for the reports that read them."""
@@ -660,6 +680,22 @@ def crosscheck_from_pages(spark, folder):
     return cc.summary(cc.crosscheck(docs, bills.master(spark, folder))).drop("checked_at")
 
 
+@query
+def stream_crosscheck(spark, folder):
+    """The documents as two files of a stream, each file a batch; the first batch is run a second time."""
+    root = _run_folder(spark)
+    halves = bills.documents(spark, folder).withColumn("half", F.expr("cast(substring(doc_id, 2) as bigint) % 2"))
+    for half in (0, 1):
+        halves.filter(f"half = {half}").drop("half").coalesce(1).write.mode("append").parquet(f"{root}/in")
+    bills.master(spark, folder).write.parquet(f"{root}/master")
+    schema = bills.documents(spark, folder).schema
+    stream = checks.read_files(spark, f"{root}/in", schema, files_per_batch=1)
+    checks.crosscheck_stream(stream, lambda: f"{root}/master", f"{root}/out", f"{root}/state")
+    again = spark.read.parquet(f"{root}/in").filter("cast(substring(doc_id, 2) as bigint) % 2 = 0")
+    checks.crosscheck_batch(again, 0, lambda: f"{root}/other", f"{root}/out", f"{root}/state")
+    return spark.read.parquet(f"{root}/out").drop("checked_at", "batch")
+
+
 # --- anomalies --------------------------------------------------------------------------
 
 
@@ -724,11 +760,12 @@ def isolation_share(spark, folder):
 
 @query
 def anomaly_batch(spark, folder):
-    """Rules and forest label of every document in one call; labels are checked against their meaning."""
-    done = check_batch(bills.documents(spark, folder), ["doc_id"])
+    """Rules and forest label of every bill in one call: flags of each, and which planted bills the forest finds."""
+    done = check_batch(bills.planted(spark, folder), ["doc_id"])
+    planted = F.expr("cast(substring(doc_id, 2) as bigint) % 97 = 0")
     return done.select(
-        "doc_id", F.size("anomaly_flags").alias("flags"),
-        ((F.col("anomaly_score") == -1) == F.col("is_anomaly")).alias("label_fits"),
+        "doc_id", F.size("anomaly_flags").alias("flags"), planted.alias("planted"),
+        (planted & F.col("is_anomaly")).alias("found"),
     )
 
 

@@ -1,15 +1,16 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from catalog.queries import DEMO_DOCUMENT
 from veritab.operators import churn
-from veritab.operators.compare import compare_with_all_rows
+from veritab.operators.compare import compare_with_all_rows, compare_with_block_rows
 from veritab.operators.confidence import FEATURES, ConfidenceModel, synthetic_history
 from veritab.operators.extract import PATTERNS, extract, extraction_summary, flat_fields, long_fields
 from veritab.plans import crosscheck as cc
 from veritab.sources.fixtures import field_mapping, seed_master
-from veritab.streaming.checks import drain, read_files
+from veritab.streaming.checks import crosscheck_batch, crosscheck_stream, drain, read_files
 
 
 def documents(spark, *docs):
@@ -45,6 +46,40 @@ def test_all_rows(spark):
     assert field_mapping(spark).count() == 12
 
 
+@pytest.mark.parametrize("cell", [2, 100])
+def test_block_rows(spark, cell):
+    """A third of all documents in one block, cut into cells or not: the pairs of the blocks, compared as one by one."""
+    given = [DEMO_DOCUMENT | {"nomor_meter": str(i), "periode": str(i % 3)} for i in range(12)]
+    rows = seed_master(spark).withColumn("Periode", (F.col("row_idx") % 2).cast("string"))
+    docs = documents(spark, *given).withColumn("periode", F.when(F.col("periode") != "2", F.col("periode")))
+    done = compare_with_block_rows(docs, rows, F.col("periode"), F.col("Periode"), cell=cell).collect()
+    want = {}
+    for i, d in enumerate(given):
+        for r in compare_with_all_rows(d, rows).collect() if i % 3 != 2 else []:
+            if r.row_idx % 2 == i % 3:
+                want[f"d{i}", r.row_idx] = (r.match_count, r.match_percentage, r.results)
+    assert len(done) == len(want)
+    assert {(r.doc_id, r.row_idx): (r.match_count, r.match_percentage, r.results) for r in done} == want
+    every = compare_with_block_rows(docs, rows, F.lit(1), F.lit(1), use_ml=False, cell=cell)
+    assert every.count() == 60 and every.select("doc_id", "row_idx").distinct().count() == 60
+    assert compare_with_block_rows(docs.limit(0), rows, F.lit(1), F.lit(1)).count() == 0
+
+
+def test_stream_keeps_to_its_master(spark, tmp_path):
+    docs = documents(spark, DEMO_DOCUMENT, DEMO_DOCUMENT | {"id_pelanggan": "532100012346"})
+    docs.coalesce(1).write.parquet(f"{tmp_path}/in")
+    seed_master(spark).write.parquet(f"{tmp_path}/v1")
+    seed_master(spark).filter("row_idx > 90").write.parquet(f"{tmp_path}/v2")
+    out, state = f"{tmp_path}/out", f"{tmp_path}/state"
+    crosscheck_stream(read_files(spark, f"{tmp_path}/in", docs.schema), lambda: f"{tmp_path}/v1", out, state)
+    once = sorted(spark.read.parquet(out).drop("checked_at").collect())
+    assert len(once) == 2 and once[0].matched_row_index == 0
+    crosscheck_batch(docs, 0, lambda: f"{tmp_path}/v2", out, state)
+    assert sorted(spark.read.parquet(out).drop("checked_at").collect()) == once
+    crosscheck_batch(docs, 1, lambda: f"{tmp_path}/v2", out, state)
+    assert spark.read.parquet(f"{out}/batch=1").filter("matched_row_index is not null").count() == 0
+
+
 PAGES = {
     "lines": ["ID Pelanggan : 532100012345\nNama : SUHARTO\nAlamat : JL. ELOK NO.23 JAKARTA\nPemakaian : 250 kWh\nBiaya Listrik : Rp 352.500"],
     "bare": ["x 532100012345 y JTX476", "Pemakaian (kWh) : 250"],

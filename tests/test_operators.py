@@ -268,3 +268,14 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(f"{root}/full_data").filter("b is null").count() == 1
     assert not (tmp_path / root.rsplit("/", 1)[1] / "filtered").exists()
     assert sinks.without_nan(df).filter("b is null").count() == 1
+
+
+def test_profile_beside_write(spark, tmp_path):
+    rows = [(1, "e", 1.0), (2, None, float("nan")), (3, "x", None), (3, "7", 2.0)]
+    df = spark.createDataFrame(rows, "k long, `a b` string, v double").repartition(3)
+    got = {(r["metric"], r["column"]): r["value"] for r in profile.profile_beside_write(df, f"{tmp_path}/t", {"a b": "e"}, ["a b", "v"]).collect()}
+    assert (got["rows", None], got["columns", None], got["numeric_columns", None], got["total_nulls", None]) == (4, 3, 2, 3)
+    assert (got["nulls", "v"], got["non_null", "a b"], got["non_numeric", "a b"], got["equals", "a b"]) == (2, 3, 3, 1)
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 4
+    empty = profile.profile_beside_write(df.limit(0), f"{tmp_path}/none").collect()
+    assert all(r["value"] == 0 for r in empty if r["metric"] in ("rows", "nulls", "non_null", "total_nulls"))

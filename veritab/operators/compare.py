@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritab.functions.grams import similarity
@@ -145,3 +145,55 @@ def compare_with_all_rows(
         F.expr(status_count(MATCH)).alias("match_count"),
         F.expr(match_percentage(len(mapping))).alias("match_percentage"),
     )
+
+
+#: Most documents and most rows that meet in one cell of a block.
+CELL = 500
+
+
+def compare_with_block_rows(
+    docs: DataFrame, master: DataFrame, doc_block: Column, row_block: Column, mapping: dict[str, str] | None = None,
+    doc_id: str = "doc_id", row_id: str = "row_idx", use_ml: bool = True, cell: int = CELL,
+) -> DataFrame:
+    """Every document against every master row of its block: (doc_id, row_id, row_number, results, match_count, match_percentage).
+
+    ``doc_block`` and ``row_block`` give the block of a document and of a row; a null block meets nothing. A constant
+    block compares with all rows. The number of pairs is what is asked for; how they are spread is not left to the
+    sizes of blocks: one of d documents and r rows is cut into ceil(d / cell) by ceil(r / cell) cells, a document goes
+    to each cell of its row of the grid, a master row to each of its column, and a cell is a join key of its own. So no
+    key joins more than about cell by cell rows, and of a block of one cell nothing is copied. Places in the grid
+    are hashes of the row, so repeated attempts agree; rows equal in every column share a cell. Repeated ids are kept.
+    """
+    mapping = mapping or COLUMN_TO_FIELD
+    fields = list(mapping.values())
+    left = docs.select(
+        F.col(doc_id).alias("_doc"), doc_block.alias("_block"), *(F.col(f).cast("string").alias(f"d_{f}") for f in fields)
+    ).filter("_block is not null")
+    right = master.select(
+        F.col(row_id).alias("_row"), row_block.alias("_block"),
+        *(F.col(f"`{column}`").cast("string").alias(f"m_{f}") for column, f in mapping.items()),
+    ).filter("_block is not null")
+    sizes = left.groupBy("_block").agg(F.count(F.lit(1)).alias("_d")).join(
+        right.groupBy("_block").agg(F.count(F.lit(1)).alias("_r")), "_block"
+    )
+    parts = sizes.select("_block", *(F.expr(f"cast(ceil({n} / {cell}) as int) as {n}s") for n in ("_d", "_r")))
+
+    def placed(side: DataFrame, own: str, other: str) -> DataFrame:
+        columns = [c for c in side.columns if c != "_block"]
+        spot = F.expr(f"cast(pmod(xxhash64({', '.join(columns)}), {own}) as int)").alias(own + "_at")
+        return side.join(parts, "_block").select(
+            "_block", *columns, spot, F.explode(F.expr(f"sequence(0, {other} - 1)")).alias(other + "_at")
+        )
+
+    cells = ["_block", "_ds_at", "_rs_at"]
+    # A given number of partitions: by their bytes alone, AQE would put many costly cells into one task.
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = placed(left, "_ds", "_rs").repartition(spread, *cells).join(placed(right, "_rs", "_ds"), cells)
+    return compare_rows(pairs, ["_doc", "_row"], mapping, use_ml).select(
+        F.col("_doc").alias(doc_id),
+        F.col("_row").alias(row_id),
+        (F.col("_row") + 1).alias("row_number"),
+        "results",
+        F.expr(status_count(MATCH)).alias("match_count"),
+        F.expr(match_percentage(len(mapping))).alias("match_percentage"),
+    )

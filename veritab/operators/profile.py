@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -286,3 +286,36 @@ def preview_note(df: DataFrame, n: int = 50) -> DataFrame:
         .otherwise("")
         .alias("note")
     )
+
+
+def profile_beside_write(
+    df: DataFrame, path: str, marks: dict[str, str] | None = None, numbers: Sequence[str] = (), mode: str = "errorifexists"
+) -> DataFrame:
+    """Write ``df`` as Parquet and return (metric, column, value) gathered in the pass that writes it.
+
+    Metrics: ``rows``, ``columns``, ``numeric_columns``, ``text_columns``, ``total_nulls`` (column null); ``nulls`` and
+    ``non_null`` of each column; ``non_numeric`` of each of ``numbers`` (values that are no numbers, nulls included);
+    ``equals`` of each column of ``marks`` (values equal to its marker). Numbers are those of the written rows: each
+    task's are added once, when its part of the table is finished. Nothing is read a second time.
+    """
+    watch = Observation()
+    names = df.columns
+    facts = [F.count(F.lit(1)).alias("rows")]
+    facts += [F.count_if(_missing(df, c)).alias(f"nulls_{i}") for i, c in enumerate(names)]
+    facts += [F.count_if(parse_number(f"`{c}`").isNull()).alias(f"bad_{i}") for i, c in enumerate(numbers)]
+    marked = list((marks or {}).items())
+    facts += [F.count_if(F.col(f"`{c}`") == v).alias(f"mark_{i}") for i, (c, v) in enumerate(marked)]
+    df.observe(watch, *facts).write.mode(mode).parquet(path)
+    got = watch.get
+    rows = [
+        ("rows", None, got["rows"]),
+        ("columns", None, len(names)),
+        ("numeric_columns", None, len(numeric_columns(df))),
+        ("text_columns", None, len(text_columns(df))),
+        ("total_nulls", None, sum(got[f"nulls_{i}"] for i in range(len(names)))),
+    ]
+    for i, c in enumerate(names):
+        rows += [("nulls", c, got[f"nulls_{i}"]), ("non_null", c, got["rows"] - got[f"nulls_{i}"])]
+    rows += [("non_numeric", c, got[f"bad_{i}"]) for i, c in enumerate(numbers)]
+    rows += [("equals", c, got[f"mark_{i}"]) for i, (c, _) in enumerate(marked)]
+    return df.sparkSession.createDataFrame(rows, "metric string, column string, value long")
