@@ -1,11 +1,14 @@
 """License scans: TF-IDF cosine of notices to templates, then inheritance from the nearest licence file above.
 
-Units are the lines of a file that hold a marker word, and the whole text of a file whose name is that of a licence
-file. Equal units are scored once. A unit's terms are its lower-cased runs of ASCII letters and digits, weighted by
+Units are header blocks: runs of neighbouring lines around each line that holds a marker word, from up to BEFORE lines
+before it, LENGTHS lines from the marker on, comment signs stripped; runs of several lines have at most BLOCK_CHARS
+characters, a marker line alone has any length. The whole text of a file whose name is that of a licence file is a
+unit too. Equal units are scored once. A unit's terms are its lower-cased runs of ASCII letters and digits, weighted by
 count times ln((1 + templates) / (1 + templates with the term)) + 1; terms that no template has weigh most and only
 lengthen the unit. Only terms shared with a template are joined, so the products are sparse, and the template side is
 a constant. A unit's licence is that of the template with the highest cosine, from LEAST on, ties to the first
-licence in code point order.
+licence in code point order. Each marker line speaks for the best unit that covers it (highest cosine, ties to the
+first licence), so parts of a notice do not name a sibling of its licence. A file's licences are those of its lines.
 
 A file has the licences of its own units. One without takes those of the licence file in the nearest directory above
 it (its own directory first): the ancestors of every distinct directory are joined to the directories of licence
@@ -13,8 +16,9 @@ files by equality, so files meet one row of their directory and no prefix is com
 themselves inherit like other files if their text names no licence.
 
 Defined cases: null text counts as empty; a null path has no directory and inherits nothing; files without any
-licence get null. Repeated rows are judged alike, and licence files of one directory count together. An empty table
-gives no rows. Other columns are kept. Column expressions only.
+licence get null. A file's own licences follow from its text and its kind alone, so rows with equal or null paths are
+judged each on its own and repeated rows alike; licence files of one directory count together. An empty table gives
+no rows. Other columns are kept, whatever their names. Column expressions only.
 """
 
 from __future__ import annotations
@@ -24,52 +28,121 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritab.llm.columns import ascii_lower, fresh_name
+from veritab.llm.columns import ascii_lower, fresh_name, let
 from veritab.session import durable
 
 LEAST = 0.7
 # Marker words, names of licence files, and the notices that licences ask for.
-MARKER = r"(?i)licen[sc]|copyright|warrant|permission is hereby|redistribution|public domain"
+MARKER = (
+    r"(?i)licen[sc]|copyright|warrant|permission is hereby|hereby granted|redistribution|public domain|"
+    r"written permission|without fee"
+)
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense)([.-].*)?$"
+#: Signs of comments at both ends of a line.
+COMMENT = r"^[\x20\x09-\x0D#*/;%!<>-]+|[\x20\x09-\x0D*/#>-]+$"
+BEFORE, LENGTHS, BLOCK_CHARS = 3, (1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24), 4000
+
+
+def _gnu(name: str, version: str, work: str = "program") -> str:
+    return (
+        f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {name} "
+        f"License as published by the Free Software Foundation, either version {version} of the License, or (at your "
+        "option) any later version."
+    )
+
+
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+    "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution."
+)
+_BSD_3 = (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_BSD_END = (
+    " THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT "
+    "OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+    "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+)
+_MIT_END = (
+    " The above copyright notice and this permission notice shall be included in all copies or substantial portions of "
+    'the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+    "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL "
+    "THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF "
+    "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+    "THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+    "granted, provided that the above copyright notice and this permission notice appear in all copies."
+)
+_CREATIVE = {
+    "CC-BY-4.0": "Attribution",
+    "CC-BY-SA-4.0": "Attribution-ShareAlike",
+    "CC-BY-NC-4.0": "Attribution-NonCommercial",
+    "CC-BY-NC-SA-4.0": "Attribution-NonCommercial-ShareAlike",
+}
+_GNU = {
+    "GPL-2.0": ("General Public", "2", "June 1991"),
+    "GPL-3.0": ("General Public", "3", "29 June 2007"),
+    "LGPL-2.1": ("Lesser General Public", "2.1", "February 1999"),
+    "LGPL-3.0": ("Lesser General Public", "3", "29 June 2007"),
+    "AGPL-3.0": ("Affero General Public", "3", "19 November 2007"),
+}
+#: Public licences' own notices, titles and short texts, and the usual one-line forms.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     (
         "Apache-2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
         "compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0",
     ),
-    (
-        "BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met",
-    ),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    # The conditions alone would also fit the first part of the longer licence; with the disclaimer they don't.
+    ("BSD-2-Clause", _BSD_2 + _BSD_END),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    (
-        "CC-BY-NC-4.0",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    (
-        "GPL-3.0",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
-        "option) any later version.",
+    ("BSD-3-Clause", _BSD_2 + _BSD_3),
+    ("BSD-3-Clause", _BSD_2 + _BSD_3 + _BSD_END),
+    *((c, f"Licensed under {' '.join(c.rsplit('-', 1)).replace('-', ' ', 1)}.") for c in _CREATIVE),
+    *(
+        (c, f"This work is licensed under a Creative Commons {name} 4.0 International License.")
+        for c, name in _CREATIVE.items()
     ),
+    *((c, f"This work is licensed under the GNU {name} License, version {v}.") for c, (name, v, _) in _GNU.items()),
+    *((c, f"GNU {name.upper()} LICENSE Version {v}, {day}") for c, (name, v, day) in _GNU.items()),
+    *((c, _gnu(name, v, "library" if name[0] == "L" else "program")) for c, (name, v, _) in _GNU.items()),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", _ISC),
     ("MIT", "Released under the MIT License."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction',
-    ),
+    ("MIT", _MIT),
+    ("MIT", _MIT + _MIT_END),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
         "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means.",
+    ),
 )
 
 
@@ -125,11 +198,9 @@ def score_units(units: DataFrame) -> DataFrame:
     cosine = F.round(F.col("product") / F.col("norm"), 6)
     scored = products.join(norms, "uid").select("uid", "licence", cosine.alias("cosine"))
     best = F.max_by("licence", F.struct("cosine", "order"))
-    order = {name: -k for k, name in enumerate(sorted({r[1] for r in rows}))}
-    place = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("licence")]
     return (
         scored.where(F.col("cosine") >= LEAST)
-        .withColumn("order", place)
+        .withColumn("order", -_place(F.col("licence")))
         .groupBy("uid")
         .agg(best.alias("licence"), F.max("cosine").alias("cosine"))
     )
@@ -149,51 +220,107 @@ def ancestors(folder: Column) -> Column:
     )
 
 
+def _blocks(text: Column) -> Column:
+    """(line, first, last, lines) of each marker line of ``text``: its number from 1 and the lines around it."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, COMMENT, ""))
+    reach = LENGTHS[-1]
+
+    def around(ls: Column) -> Column:
+        marked = F.filter(F.sequence(F.lit(1), F.size(ls)), lambda i: F.get(ls, i - 1).rlike(MARKER))
+        return F.transform(
+            marked,
+            lambda i: F.struct(
+                i.alias("line"),
+                F.slice(ls, F.greatest(i - BEFORE, F.lit(1)), i + reach - F.greatest(i - BEFORE, F.lit(1))).alias("near"),
+                (i - F.greatest(i - BEFORE, F.lit(1))).alias("before"),
+            ),
+        )
+
+    return let(lines, around)
+
+
+def _units(near: Column, before: Column) -> Column:
+    """(from, to, unit): the runs of the lines ``near`` that hold the marker line, ``before`` lines before it or fewer."""
+
+    def run(back: Column, length: Column) -> Column:
+        return F.struct(
+            back.alias("back"), length.alias("length"),
+            F.array_join(F.slice(near, before - back + 1, back + length), " ").alias("unit"),
+        )
+
+    lengths = F.filter(F.array(*[F.lit(n) for n in LENGTHS]), lambda n: (n == 1) | (n <= F.size(near) - before))
+    runs = F.flatten(F.transform(F.sequence(F.lit(0), before), lambda b: F.transform(lengths, lambda n: run(b, n))))
+    alone = lambda r: (r["back"] == 0) & (r["length"] == 1)
+    return F.filter(runs, lambda r: alone(r) | (F.length(r["unit"]) <= BLOCK_CHARS))
+
+
+def own_licences(files: DataFrame) -> DataFrame:
+    """(key, own, cosine) of each of ``files`` (key, is_licence, text; one row a key) that names a licence."""
+    marked = files.where(F.col("text").rlike(MARKER))
+    runs = (
+        marked.select("key", F.explode(_blocks(F.col("text"))).alias("b"))
+        .select("key", "b.line", F.explode(_units(F.col("b.near"), F.col("b.before"))).alias("u"))
+        .select("key", (F.col("line") - F.col("u.back")).alias("first"), (F.col("line") + F.col("u.length") - 1).alias("last"), "u.unit")
+    )
+    whole = files.where("is_licence").select("key", F.lit(1).alias("first"), F.lit(2**31 - 1).alias("last"), F.col("text").alias("unit"))
+    units = durable(runs.unionByName(whole).withColumn("uid", F.md5("unit")).dropDuplicates(["key", "first", "last"]))
+    found = units.drop("unit").join(score_units(units), "uid")
+    lines = units.where("last < 2147483647").select("key", F.col("first").alias("line"), "last").where("line = last").select("key", "line").distinct()
+    # A run covers its own lines only: at most BEFORE + LENGTHS[-1]; a whole text stands for itself as line 0.
+    covered = found.where("last < 2147483647").select(
+        "key", "licence", "cosine", F.explode(F.sequence("first", "last")).alias("line")
+    )
+    spoken = covered.join(lines, ["key", "line"]).unionByName(
+        found.where("last = 2147483647").select("key", "licence", "cosine", F.lit(0).alias("line"))
+    )
+    best = spoken.groupBy("key", "line").agg(
+        F.max("cosine").alias("cosine"), F.max_by("licence", F.struct("cosine", -_place(F.col("licence")))).alias("licence")
+    )
+    return best.groupBy("key").agg(F.sort_array(F.collect_set("licence")).alias("own"), F.max("cosine").alias("cosine"))
+
+
+def _place(licence: Column) -> Column:
+    """Place of a licence in code point order."""
+    names = sorted({name for name, _ in TEMPLATES})
+    return F.create_map(*[F.lit(x) for k, name in enumerate(names) for x in (name, k)])[licence]
+
+
 def scan(df: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """``df`` with ``own`` (its licences, sorted), ``cosine`` (of the best), ``licences`` and ``inherited_from``."""
     names = {n: fresh_name(df, n) for n in ("own", "cosine", "licences", "inherited_from")}
+    at = {n: fresh_name(df, f"licence_{n}") for n in ("key", "folder", "own", "cosine", "above", "given", "own_key", "in_folder")}
     t = F.coalesce(df[text], F.lit(""))
-    lines = F.when(t.rlike(MARKER), F.filter(F.split(t, "\n"), lambda x: x.rlike(MARKER))).otherwise(
-        F.array().cast("array<string>")
-    )
     is_licence = F.coalesce(F.element_at(F.split(df[path], "/"), -1).rlike(LICENCE_FILE), F.lit(False))
-    found = F.array_distinct(F.when(is_licence, F.array_append(lines, t)).otherwise(lines))
-    units = durable(
-        df.select(df[path].alias("path"), is_licence.alias("is_licence"), F.explode(found).alias("unit"))
-        .withColumn("uid", F.md5("unit"))
-        .dropDuplicates(["path", "uid"])
-    )
-    named = units.drop("unit").join(score_units(units), "uid")
-    of_file = durable(
-        named.groupBy("path").agg(
-            F.sort_array(F.collect_set("licence")).alias("own"),  # distinct licences: as many as templates name
-            F.max("cosine").alias("cosine"),
-            F.max("is_licence").alias("is_licence"),
-        )
-    )
+    key = F.concat(F.md5(t), is_licence.cast("string"))
+    seen = df.select(key.alias("key"), is_licence.alias("is_licence"), t.alias("text"), df[path].alias("path"))
+    telling = seen.where(F.col("is_licence") | F.col("text").rlike(MARKER))
+    of_text = durable(own_licences(telling.dropDuplicates(["key"]).drop("path")))
     of_folder = (
-        of_file.where("is_licence AND path IS NOT NULL")
-        .groupBy(directory(F.col("path")).alias("above"))
+        telling.where("is_licence AND path IS NOT NULL")
+        .select(directory(F.col("path")).alias("above"), "key")
+        .distinct()
+        .join(of_text, "key")
+        .groupBy("above")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("own")))).alias("given"))
     )
-    folder = fresh_name(df, "folder_")
     folders = df.select(directory(df[path]).alias("folder")).where("folder IS NOT NULL").distinct()
     nearest = (
         folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("above"))
         .join(of_folder, "above")
         .groupBy("folder")
         .agg(F.max_by(F.struct("above", "given"), F.length("above")).alias("from"))
+        .select(F.col("folder").alias(at["in_folder"]), F.col("from.above").alias(at["above"]), F.col("from.given").alias(at["given"]))
     )
-    own = of_file.select(F.col("path").alias("_path"), F.col("own").alias("_own"), F.col("cosine").alias("_cosine"))
+    own = of_text.select(F.col("key").alias(at["own_key"]), F.col("own").alias(at["own"]), F.col("cosine").alias(at["cosine"]))
     return (
-        df.withColumn(folder, directory(df[path]))
-        .join(own, F.col(path).eqNullSafe(F.col("_path")), "left")
-        .join(nearest, F.col(folder) == nearest["folder"], "left")
+        df.withColumns({at["key"]: key, at["folder"]: directory(df[path])})
+        .join(own, F.col(at["key"]) == F.col(at["own_key"]), "left")
+        .join(nearest, F.col(at["folder"]) == F.col(at["in_folder"]), "left")
         .select(
             *[F.col(f"`{c}`") for c in df.columns],
-            F.col("_own").alias(names["own"]),
-            F.col("_cosine").alias(names["cosine"]),
-            F.coalesce("_own", F.col("from.given")).alias(names["licences"]),
-            F.when(F.col("_own").isNull(), F.col("from.above")).alias(names["inherited_from"]),
+            F.col(at["own"]).alias(names["own"]),
+            F.col(at["cosine"]).alias(names["cosine"]),
+            F.coalesce(at["own"], at["given"]).alias(names["licences"]),
+            F.when(F.col(at["own"]).isNull(), F.col(at["above"])).alias(names["inherited_from"]),
         )
     )

@@ -109,7 +109,11 @@ NOTICES = ", ".join(
     "({}, '{}', '{}')".format(k, name, text.replace("'", "''")) for k, (name, text) in enumerate(TEMPLATES)
 )
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MARKED = "(?i)licen[sc]|copyright|warrant|permission is hereby|redistribution|public domain"
+MARKED = (
+    "(?i)licen[sc]|copyright|warrant|permission is hereby|hereby granted|redistribution|public domain|"
+    "written permission|without fee"
+)
+SIGNS = r"^[\x20\x09-\x0D#*/;%!<>-]+|[\x20\x09-\x0D*/#>-]+$"
 
 
 def _terms(text: str) -> str:
@@ -127,11 +131,20 @@ WITH files AS (
 ), named AS (
     SELECT *, regexp_replace(path, '/?[^/]*$', '') AS folder, coalesce(path LIKE '%/LICENSE', false) AS is_licence
     FROM files
+), texts AS (
+    SELECT DISTINCT md5(t) AS key, t, is_licence,
+        list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '{SIGNS}', '', 'g')) AS ls
+    FROM named WHERE is_licence OR regexp_matches(t, '{MARKED}')
+), marks AS (
+    SELECT * FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS line FROM texts WHERE regexp_matches(t, '{MARKED}'))
+    WHERE regexp_matches(ls[line], '{MARKED}')
 ), units AS (
-    SELECT DISTINCT path, is_licence, unnest(list_concat(
-        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{MARKED}')),
-        CASE WHEN is_licence THEN [t] ELSE [] END)) AS unit
-    FROM named
+    SELECT * FROM (
+        SELECT DISTINCT key, is_licence, line - b AS first, line + n - 1 AS last, array_to_string(ls[line - b : line + n - 1], ' ') AS unit
+        FROM marks, unnest(range(4)) AS x(b), unnest([1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 24]) AS y(n)
+        WHERE line - b >= 1 AND (n = 1 OR line + n - 1 <= len(ls)))
+    WHERE first = last OR length(unit) <= 4000
+    UNION ALL SELECT key, is_licence, 0, 0, t FROM texts WHERE is_licence
 ), notices AS (
     SELECT * FROM (VALUES {NOTICES}) AS x(template, licence, notice)
 ), notice_terms AS (
@@ -155,11 +168,18 @@ WITH files AS (
 ), best AS (
     SELECT unit, licence, cosine FROM scored WHERE cosine >= 0.7
     QUALIFY row_number() OVER (PARTITION BY unit ORDER BY cosine DESC, licence) = 1
-), of_file AS (
-    SELECT path, list_sort(list(DISTINCT licence)) AS own, max(cosine) AS cosine, bool_or(is_licence) AS is_licence
-    FROM units JOIN best USING (unit) GROUP BY path
+), told AS (
+    SELECT m.key, m.is_licence, m.line, licence, cosine FROM marks AS m
+    JOIN units AS u ON u.key = m.key AND u.is_licence = m.is_licence AND m.line BETWEEN u.first AND u.last JOIN best USING (unit)
+    UNION ALL SELECT key, is_licence, 0, licence, cosine FROM units JOIN best USING (unit) WHERE first = 0
+), of_text AS (
+    SELECT key, is_licence, list_sort(list(DISTINCT licence)) AS own, max(cosine) AS cosine FROM (
+        SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY key, is_licence, line ORDER BY cosine DESC, licence) = 1)
+    GROUP BY key, is_licence
 ), given AS (
-    SELECT regexp_replace(path, '/?[^/]*$', '') AS above, own FROM of_file WHERE is_licence
+    SELECT folder AS above, list_sort(list_distinct(flatten(list(own)))) AS own
+    FROM named JOIN of_text ON key = md5(t) AND of_text.is_licence = named.is_licence
+    WHERE named.is_licence AND path IS NOT NULL GROUP BY folder
 ), nearest AS (
     SELECT folder, above, own AS given
     FROM (SELECT DISTINCT folder FROM named WHERE folder IS NOT NULL)
@@ -168,7 +188,7 @@ WITH files AS (
 )
 SELECT doc_id, path, array_to_string(own, ',') AS own, cosine, array_to_string(coalesce(own, given), ',') AS licences,
     CASE WHEN own IS NULL THEN above END AS inherited_from
-FROM named LEFT JOIN (SELECT path AS p, own, cosine FROM of_file) ON path IS NOT DISTINCT FROM p
+FROM named LEFT JOIN of_text ON key = md5(t) AND of_text.is_licence = named.is_licence
 LEFT JOIN nearest USING (folder)
 """
 
