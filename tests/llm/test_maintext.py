@@ -4,8 +4,10 @@ from html import unescape
 
 import pytest
 
+from tests.llm.conftest import DATA
 from veritab.llm import maintext
 from veritab.llm.dom import parse
+from veritab.llm.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +106,33 @@ def test_odd_rows(spark, forest):
     empty = table.where("page_id < 0")
     assert maintext.train(empty) is None
     assert maintext.main_text(empty, None).count() == 0
+
+
+ARTICLE = ["The river had been rising for three days, and nobody in the village slept well. " * 2,
+           "On the fourth morning the water turned, and the people came out to look at the fields. " * 2,
+           "They found their fences gone, their wells filled with mud, and their cattle on the hill. " * 2]
+
+
+def test_articles_in_odd_places(forest):
+    body = "".join(f"<p>{t}</p>" for t in ARTICLE)
+    whole = " ".join(" ".join(ARTICLE).split())
+    menu = '<ul class="menu"><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul>'
+    pages = {
+        "form": f"<html><body><form action='x'><input name='q'><div class='content'>{body}</div></form></body></html>",
+        "nav": f"<html><body><nav>{menu}<article>{body}</article></body></html>",
+        "noscript": f"<html><body><noscript><article>{body}</article></body></html>",
+        "one paragraph": f"<p>{whole}</p>",
+        "bare": whole,
+        "plain": f"<html><body><nav>{menu}</nav><article>{body}</article><footer>Imprint of the paper.</footer></body></html>",
+        "aside": f"<html><body><article>{body}</article><aside>Read this as well, it is short.</aside></body></html>",
+    }
+    got = {name: maintext.extract(page, forest) for name, page in pages.items()}
+    assert got == {name: whole for name in pages}
+
+
+def test_query_returns_every_page(spark, pages):
+    got = QUERIES["op8_html_extraction"](spark, DATA).collect()
+    source = {r.page_id: r for r in pages.collect()}
+    assert len(got) == pages.count() and all(r.url == source[r.page_id].url and r.n_chars == len(r.text) for r in got)
+    right = sum(r.text == article_of(source[r.page_id].html) for r in got)
+    assert right >= 0.98 * len(got)

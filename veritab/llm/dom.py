@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 # Element names of the HTML standard, by their part in parsing.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
+#: Raw elements whose missing end doesn't swallow what follows.
+UNCLOSED = frozenset("title noscript iframe noembed noframes template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -103,7 +105,8 @@ def parse(page: str) -> list[Node]:
         nodes.append(Node(tag, stack[-1], len(stack), m[3]))
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            # Without an end, those that only hold text leave the rest of the page to the page.
+            at = end.end() if end else at if tag in UNCLOSED else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
             stack.append(number)
 

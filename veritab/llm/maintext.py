@@ -9,7 +9,10 @@ menus, headers, footers, sidebars, notices, adverts, forms and comments.
 Decoding: a subtree is taken whole, dropped whole, or split, in which case its children decide for themselves at a
 fixed cost. The best choice for all nodes of a page is found bottom-up in one pass, so no node is kept below a
 dropped one and none is dropped below one that is kept whole. Elements that never hold reading text (scripts,
-styles, forms, navigation, ...) are dropped before.
+styles, controls) are dropped before, and so are forms, navigation, asides and footers, but not where such an element
+holds more than half of the page's text, as a form around the page or a menu without its end does: then the trees
+judge what is in it. If nothing is kept, blocks with own text that are no links, and that no word of their attributes or
+of those above them speaks against, are the article: a page of one paragraph, or of text without any element, is one.
 
 Text: character references are decoded, white space inside a block becomes one blank, blocks are joined by one
 blank in page order. Defined cases: null and empty pages give an empty text, as does a page without an article. Text
@@ -44,6 +47,8 @@ DROPPED = RAW | frozenset(
     "head nav footer aside form button select input menu dialog svg canvas audio video object embed applet map "
     "datalist meter progress fieldset".split()
 )
+#: Of these, what may wrap a whole page by mistake or by habit.
+WRAPPERS = frozenset("nav footer aside form menu dialog fieldset".split())
 LANDMARKS = ("article", "main", "header", "section", "table", "li", "p", "h1", "h2", "h3", "blockquote", "pre", "div")
 BAD_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner menu nav navbar "
@@ -68,11 +73,12 @@ class Tree:
         self.bad, self.good, self.above_bad, self.above_good = (np.zeros(n) for _ in range(4))
         self.children: list[list[int]] = [[] for _ in range(n)]
         linked = [False] * n
+        wraps = self._wrappers()
         for k, node in enumerate(nodes):
             p = node.parent
             if p >= 0:
                 self.children[p].append(k)
-                self.gone[k] = self.gone[p] or node.tag in DROPPED
+                self.gone[k] = self.gone[p] or node.tag in DROPPED and k not in wraps
                 linked[k] = linked[p] or node.tag == "a"
                 self.above_bad[k] = self.above_bad[p] + self.bad[p]
                 self.above_good[k] = self.above_good[p] + self.good[p] + (nodes[p].tag in ("article", "main"))
@@ -95,6 +101,24 @@ class Tree:
                 for sums in (self.chars, self.link_chars, self.stops, self.words, self.elements, self.paragraphs):
                     sums[p] += sums[k]
 
+    def _wrappers(self) -> set[int]:
+        """Elements of WRAPPERS with more than half of the page's text."""
+        nodes = self.nodes
+        if not any(node.tag in WRAPPERS for node in nodes):
+            return set()
+        held = [
+            0 if node.tag in DROPPED and node.tag not in WRAPPERS
+            else sum(len(part) for part in node.inside if isinstance(part, str) and not part.isspace())
+            for node in nodes
+        ]
+        lost = [False] * len(nodes)
+        for k, node in enumerate(nodes):
+            lost[k] = k > 0 and (lost[node.parent] or node.tag in DROPPED and node.tag not in WRAPPERS)
+            held[k] = 0 if lost[k] else held[k]
+        for k in range(len(nodes) - 1, 0, -1):
+            held[nodes[k].parent] += held[k]
+        return {k for k, node in enumerate(nodes) if node.tag in WRAPPERS and 2 * held[k] > held[0]}
+
     def features(self) -> np.ndarray:
         n = len(self.nodes)
         out = np.zeros((n, 20 + len(LANDMARKS)))
@@ -160,6 +184,12 @@ class Tree:
             elif p >= 0 and choice[p] != "split":
                 choice[k] = choice[p]
             kept[k] = choice[k] == "take" or choice[k] == "split" and self.own[k] > 0 and weight[k] > 0
+        if not any(kept[k] and self.own[k] for k in range(n)):
+            kept = [
+                self.own[k] > 0 and not self.gone[k] and self.link_chars[k] == 0 and self.bad[k] + self.above_bad[k] == 0
+                and self.stops[k] > 0
+                for k in range(n)
+            ]
         return kept
 
     def text(self, kept: list[bool]) -> str:
