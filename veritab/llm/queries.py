@@ -103,7 +103,7 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
         .select(*facts[:7], "side.edited", "side.t")
     )
     prints = durable(
-        simhash.fingerprints(sides, "t", facts)
+        simhash.fingerprints(sides, "t", [*facts[1:3], "edited"], ["key", *facts[3:7]])
         .withColumn("print", F.struct("hi", "lo"))
         .groupBy(*facts[:7])
         .agg(

@@ -1,20 +1,22 @@
 """Document fingerprints by SimHash, and all fingerprints within a Hamming radius by permuted block tables.
 
-Terms are pairs of neighbouring words, the text's edges included, so a text of n words has n + 1 terms, each with
-the characters of its words as weight (one at least, 24 at most). A term's 128 hash bits vote for or against the bits
-of the fingerprint. Votes are summed by ordinary aggregation: two bits share a long, 32 bits apart, so 64 sums of
-packed lanes hold all 128 and stay inside generated code; partial sums are made before the shuffle.
+Terms are the distinct words of a text. One of n occurrences weighs floor(4 * l * (1 + ln n)), l its characters (24 at
+most), so frequent short words don't make strangers alike and one changed word moves few bits. A term's 128 hash bits
+vote for or against the bits of the fingerprint. Occurrences are counted by (row, hash of the word), within the
+partition that holds the row; votes are summed by ordinary aggregation: two bits share a long, 32 bits apart, so 64
+sums of packed lanes hold all 128 and stay inside generated code.
 
 ``with_next`` pairs each row with the one after it in key order without sorting the table in one task: keys are cut
 into ranges at quantiles of a bounded sample, and the first row of each range is also sent, marked, to the end of
 the range before it (the first range's to the last), so a window within a range sees every successor. Whole texts
 are shuffled once.
 
-``within_radius``: a fingerprint's hex digits are cut into blocks. Two fingerprints that differ in at most
-``radius`` bits agree in all but ``radius`` blocks, so one table for each choice of the other blocks, keyed by their
-digits, finds every such pair. Equal fingerprints are one entry with a count, so copies cost nothing.
+``within_radius``: a fingerprint's hex digits are cut into blocks. Two fingerprints that differ in at most ``radius``
+bits differ in at most radius // blocks bits of some block, so one table for each block, keyed by its bits, finds every
+such pair when it is asked for the block and for all values within so many flipped bits. Only the asked fingerprints
+are multiplied by these flips. Equal fingerprints are one entry with a count, so copies cost nothing.
 
-Defined cases: a null text counts as empty and has the one term of two edges. Null keys come last, ties by text,
+Defined cases: a null text counts as empty; without words all bits are 0. Null keys come last, ties by text,
 null texts first. If all keys are null, the last row has no next row and gets the empty text for it. Repeated rows are
 rows of their own; an empty table gives no rows. Only key and text are read. Column expressions only.
 """
@@ -33,44 +35,48 @@ HEAVIEST = 24
 #: Rows in a range of keys, about, sampled keys for each range, and ranges at most: beyond that ranges grow, so that
 #: the boundaries, which travel with the plan, stay a short list. A range is sorted with spilling, never held.
 RANGE_ROWS, SAMPLED, MOST_RANGES = 8192, 64, 20_000
-RADIUS, BLOCKS = 3, 5
+RADIUS, BLOCKS = 17, 6
 
 _LANES = (1 << 32) | 1
 
 
 def terms(text: Column) -> Column:
-    """(h: hash, w: weight) of each pair of neighbouring words of ``text``."""
-
-    def pair(w: Column, i: Column) -> Column:
-        left, right = F.coalesce(F.get(w, i - 1), F.lit("")), F.coalesce(F.get(w, i), F.lit(""))
-        weight = F.least(F.greatest(F.length(left) + F.length(right), F.lit(1)), F.lit(HEAVIEST))
-        return F.struct(F.xxhash64(left, right).alias("h"), weight.cast("long").alias("w"))
-
-    return let(words(text), lambda w: F.transform(F.sequence(F.lit(0), F.size(w)), lambda i: pair(w, i)))
+    """(h: hash, l: length) of each word of ``text``."""
+    return F.transform(
+        words(text),
+        lambda w: F.struct(F.xxhash64(w).alias("h"), F.least(F.length(w), F.lit(HEAVIEST)).alias("l")),
+    )
 
 
 def _assembled(word: int) -> Column:
     """64 of the fingerprint's bits from the lanes ``v{word}_{j}``: bit j in the low lane, j + 32 in the high one."""
     total = F.lit(0).cast("long")
     for j in range(32):
-        lanes = F.col(f"v{word}_{j}")
+        lanes = F.coalesce(f"v{word}_{j}", F.lit(0))
         for shift, votes in ((j, lanes.bitwiseAND((1 << 32) - 1)), (j + 32, F.shiftrightunsigned(lanes, 32))):
             total = total.bitwiseOR(F.when(2 * votes > F.col("weight"), F.shiftleft(F.lit(1).cast("long"), shift)).otherwise(0))
     return total
 
 
-def fingerprints(df: DataFrame, text: str, by: list[str]) -> DataFrame:
-    """``by`` and the fingerprint (hi, lo: long) of each row of ``df``; ``by`` must tell rows apart."""
-    voted = df.select(*by, F.explode(terms(F.col(text))).alias("t")).select(
-        *by, F.col("t.w").alias("w"), F.col("t.h").alias("h0"), F.xxhash64(F.col("t.h"), F.lit(1)).alias("h1")
-    )
+def fingerprints(df: DataFrame, text: str, by: list[str], carried: list[str] = ()) -> DataFrame:
+    """``by``, ``carried`` and the fingerprint (hi, lo: long) of each row of ``df``; ``by`` must tell rows apart.
+
+    One more element than words holds the ``carried`` columns, so they aren't repeated with each word.
+    """
+    none = F.lit(None).cast("struct<h:bigint,l:int>")
+    said = df.select(*by, *carried, F.explode(F.concat(F.array(none), terms(F.col(text)))).alias("t"))
+    counted = said.groupBy(
+        *by, *(F.when(F.col("t").isNull(), F.col(c)).alias(c) for c in carried), F.col("t.h").alias("h0"), F.col("t.l").alias("l")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    weight = F.coalesce(F.floor(4 * F.col("l") * (1 + F.log(F.col("n").cast("double")))), F.lit(0)).cast("long")
+    voted = counted.select(*by, *carried, weight.alias("w"), "h0", F.xxhash64("h0", F.lit(1)).alias("h1"))
     sums = [
         F.sum(F.shiftrightunsigned(f"h{word}", j).bitwiseAND(_LANES) * F.col("w")).alias(f"v{word}_{j}")
         for word in (0, 1)
         for j in range(32)
     ]
-    summed = voted.groupBy(*by).agg(F.sum("w").alias("weight"), *sums)
-    return summed.select(*by, _assembled(0).alias("hi"), _assembled(1).alias("lo"))
+    summed = voted.groupBy(*by).agg(*(F.max(c).alias(c) for c in carried), F.sum("w").alias("weight"), *sums)
+    return summed.select(*by, *carried, _assembled(0).alias("hi"), _assembled(1).alias("lo"))
 
 
 def spelled(hi: Column, lo: Column) -> Column:
@@ -154,24 +160,30 @@ def within_radius(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, blo
     """
     digits = BITS // 4
     edges = [digits * k // blocks for k in range(blocks + 1)]
-    part = lambda k: F.substring("fingerprint", edges[k] + 1, edges[k + 1] - edges[k])
-    tables = F.explode(
-        F.array(
-            *[
-                F.xxhash64(F.lit(t), *[part(k) for k in chosen])
-                for t, chosen in enumerate(combinations(range(blocks), blocks - radius))
-            ]
-        )
-    )
-    half = lambda c, at: F.conv(F.substring(c, at, 8), 16, 10).cast("long")
-    distance = sum(
-        (F.bit_count(half("fingerprint", at).bitwiseXOR(half("near", at))) for at in (1, 9, 17, 25)), F.lit(0)
-    )
+    flips = radius // blocks
+
+    def number(at: int, length: int) -> Column:
+        return F.conv(F.substring("fingerprint", at, length), 16, 10).cast("long")
+
+    def keys(flipped: int) -> Column:
+        """Block and its bits in one number, for all values within ``flipped`` bits."""
+        tables = []
+        for k in range(blocks):
+            width = 4 * (edges[k + 1] - edges[k])
+            masks = [sum(1 << b for b in bits) for n in range(flipped + 1) for bits in combinations(range(width), n)]
+            block = number(edges[k] + 1, edges[k + 1] - edges[k]) + F.lit(k << width_most)
+            tables.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, b=block: b.bitwiseXOR(m)))
+        return F.explode(F.flatten(F.array(*tables)))
+
+    width_most = 4 * max(b - a for a, b in zip(edges, edges[1:]))
+    quarters = lambda name: [number(at, 8).alias(f"{name}{at}") for at in (1, 9, 17, 25)]
+    apart = lambda at: F.bit_count(F.col(f"a{at}").bitwiseXOR(F.col(f"n{at}")))
     stored = prints.groupBy("fingerprint").agg(F.count("*").alias("copies"))
-    found = (
-        asked.select("fingerprint")
-        .distinct()
-        .select("fingerprint", tables.alias("k"))
-        .join(stored.select(F.col("fingerprint").alias("near"), "copies", tables.alias("k")), "k")
-    )
-    return found.where(distance <= radius).select("fingerprint", "near", "copies").distinct()
+    wanted = asked.select("fingerprint").distinct()
+    # The many keys of an asked fingerprint travel with a quarter of it; the rest follows for what is near by that.
+    probes = wanted.select(number(25, 8).alias("a25"), keys(flips).alias("k"))
+    table = stored.select(F.col("fingerprint").alias("near"), "copies", *quarters("n"), keys(0).alias("k"))
+    close = probes.join(table, "k").where(apart(25) <= radius).drop("k")
+    whole = wanted.select("fingerprint", *quarters("a"))
+    found = close.join(whole, "a25").where(sum((apart(at) for at in (1, 9, 17, 25)), F.lit(0)) <= radius)
+    return found.select("fingerprint", "near", "copies").distinct()
