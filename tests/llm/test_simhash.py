@@ -1,8 +1,6 @@
 import hashlib
-import math
 import random
 import re
-from collections import Counter
 
 import xxhash
 
@@ -18,8 +16,8 @@ def signed(x):
 def brute(text):
     """Fingerprint by counting votes bit by bit."""
     votes = [0] * 128
-    for word, n in Counter(x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x).items():
-        weight = math.floor(4 * min(len(word), simhash.HEAVIEST) * (1 + math.log(n)))
+    for word in {x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x}:
+        weight = min(len(word), simhash.HEAVIEST)
         h = xxhash.xxh64_intdigest(word.encode(), 42)
         # Spark hashes a long like its eight bytes, lowest first.
         h1 = second_hash(h)

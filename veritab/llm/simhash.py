@@ -1,9 +1,8 @@
 """Document fingerprints by SimHash, and all fingerprints within a Hamming radius by permuted block tables.
 
-Terms are the distinct words of a text. One of n occurrences weighs floor(4 * l * (1 + ln n)), l its characters (24 at
-most), so frequent short words don't make strangers alike and one changed word moves few bits. A term's 128 hash bits
-vote for or against the bits of the fingerprint. Occurrences are counted by (row, hash of the word), within the
-partition that holds the row; votes are summed by ordinary aggregation: two bits share a long, 32 bits apart, so 64
+Terms are the distinct words of a text, each with its characters as weight (24 at most), so frequent short words don't
+make strangers alike and one changed word moves few bits. A term's 128 hash bits
+vote for or against the bits of the fingerprint. Votes are summed by ordinary aggregation: two bits share a long, 32 bits apart, so 64
 sums of packed lanes hold all 128 and stay inside generated code.
 
 ``with_next`` pairs each row with the one after it in key order without sorting the table in one task: keys are cut
@@ -41,9 +40,9 @@ _LANES = (1 << 32) | 1
 
 
 def terms(text: Column) -> Column:
-    """(h: hash, l: length) of each word of ``text``."""
+    """(h: hash, l: length) of each distinct word of ``text``."""
     return F.transform(
-        words(text),
+        F.array_distinct(words(text)),
         lambda w: F.struct(F.xxhash64(w).alias("h"), F.least(F.length(w), F.lit(HEAVIEST)).alias("l")),
     )
 
@@ -65,11 +64,10 @@ def fingerprints(df: DataFrame, text: str, by: list[str], carried: list[str] = (
     """
     none = F.lit(None).cast("struct<h:bigint,l:int>")
     said = df.select(*by, *carried, F.explode(F.concat(F.array(none), terms(F.col(text)))).alias("t"))
-    counted = said.groupBy(
-        *by, *(F.when(F.col("t").isNull(), F.col(c)).alias(c) for c in carried), F.col("t.h").alias("h0"), F.col("t.l").alias("l")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    weight = F.coalesce(F.floor(4 * F.col("l") * (1 + F.log(F.col("n").cast("double")))), F.lit(0)).cast("long")
-    voted = counted.select(*by, *carried, weight.alias("w"), "h0", F.xxhash64("h0", F.lit(1)).alias("h1"))
+    voted = said.select(
+        *by, *(F.when(F.col("t").isNull(), F.col(c)).alias(c) for c in carried),
+        F.coalesce("t.l", F.lit(0)).cast("long").alias("w"), F.col("t.h").alias("h0"), F.xxhash64("t.h", F.lit(1)).alias("h1"),
+    )
     sums = [
         F.sum(F.shiftrightunsigned(f"h{word}", j).bitwiseAND(_LANES) * F.col("w")).alias(f"v{word}_{j}")
         for word in (0, 1)
