@@ -103,14 +103,20 @@ def op6_simhash(spark: SparkSession, folder: str) -> DataFrame:
         .select(*facts[:7], "side.edited", "side.t")
     )
     prints = durable(
-        simhash.fingerprints(sides, "t", [*facts[1:3], "edited"], ["key", *facts[3:7]])
-        .withColumn("print", F.struct("hi", "lo"))
+        simhash.fingerprints(sides, "t", facts)
         .groupBy(*facts[:7])
         .agg(
-            F.max(F.when(~F.col("edited"), F.col("print"))).alias("a"),
-            F.max(F.when(F.col("edited"), F.col("print"))).alias("b"),
+            *(
+                F.max(F.when(F.col("edited") == changed, F.col(half))).alias(f"{side}_{half}")
+                for side, changed in (("a", False), ("b", True))
+                for half in ("hi", "lo")
+            )
+        )
+        .select(
+            *facts[:7],
+            *(F.struct(F.col(f"{s}_hi").alias("hi"), F.col(f"{s}_lo").alias("lo")).alias(s) for s in ("a", "b")),
+            simhash.spelled(F.col("a_hi"), F.col("a_lo")).alias("fingerprint"),
         )
-        .withColumn("fingerprint", simhash.spelled(F.col("a.hi"), F.col("a.lo")))
     )
     after = prints.select(F.col("range").alias("next_range"), F.col("place").alias("next_place"), F.col("a").alias("c"))
     asked = prints.where("key % 20 = 0")

@@ -10,7 +10,7 @@ into ranges at quantiles of a bounded sample, and the first row of each range is
 the range before it (the first range's to the last), so a window within a range sees every successor. Whole texts
 are shuffled once.
 
-``within_radius``: a fingerprint's hex digits are cut into blocks. Two fingerprints that differ in at most ``radius``
+``within_radius``: a fingerprint's bits are cut into blocks. Two fingerprints that differ in at most ``radius``
 bits differ in at most radius // blocks bits of some block, so one table for each block, keyed by its bits, finds every
 such pair when it is asked for the block and for all values within so many flipped bits. Only the asked fingerprints
 are multiplied by these flips. Equal fingerprints are one entry with a count, so copies cost nothing.
@@ -48,33 +48,38 @@ def terms(text: Column) -> Column:
 
 
 def _assembled(word: int) -> Column:
-    """64 of the fingerprint's bits from the lanes ``v{word}_{j}``: bit j in the low lane, j + 32 in the high one."""
-    total = F.lit(0).cast("long")
-    for j in range(32):
-        lanes = F.coalesce(f"v{word}_{j}", F.lit(0))
-        for shift, votes in ((j, lanes.bitwiseAND((1 << 32) - 1)), (j + 32, F.shiftrightunsigned(lanes, 32))):
-            total = total.bitwiseOR(F.when(2 * votes > F.col("weight"), F.shiftleft(F.lit(1).cast("long"), shift)).otherwise(0))
-    return total
+    """64 of the fingerprint's bits from the lanes ``v{word}_{j}``: bit j in the low lane, j + 32 in the high one.
 
+    Folded over an array of the lanes: written out, 64 branches for each word take longer to compile than to run.
+    """
+    lanes = F.array(*[F.col(f"v{word}_{j}") for j in range(32)])
+
+    def bit(votes: Column, place: Column) -> Column:
+        return F.when(2 * votes > F.col("weight"), F.call_function("shiftleft", F.lit(1).cast("long"), place)).otherwise(0)
+
+    def bits(lane: Column, j: Column) -> Column:
+        return bit(lane.bitwiseAND((1 << 32) - 1), j).bitwiseOR(bit(F.shiftrightunsigned(lane, 32), j + 32))
+
+    return F.aggregate(F.transform(lanes, bits), F.lit(0).cast("long"), lambda total, x: total.bitwiseOR(x))
 
-def fingerprints(df: DataFrame, text: str, by: list[str], carried: list[str] = ()) -> DataFrame:
-    """``by``, ``carried`` and the fingerprint (hi, lo: long) of each row of ``df``; ``by`` must tell rows apart.
 
-    One more element than words holds the ``carried`` columns, so they aren't repeated with each word.
+def fingerprints(df: DataFrame, text: str, by: list[str]) -> DataFrame:
+    """``by`` and the fingerprint (hi, lo: long) of each row of ``df``; ``by`` must tell rows apart.
+
+    Sums of longs are hashed, not sorted, so rows of words are never stored; a column to keep belongs into ``by``, as
+    the maximum of a string would need a sort.
     """
-    none = F.lit(None).cast("struct<h:bigint,l:int>")
-    said = df.select(*by, *carried, F.explode(F.concat(F.array(none), terms(F.col(text)))).alias("t"))
-    voted = said.select(
-        *by, *(F.when(F.col("t").isNull(), F.col(c)).alias(c) for c in carried),
-        F.coalesce("t.l", F.lit(0)).cast("long").alias("w"), F.col("t.h").alias("h0"), F.xxhash64("t.h", F.lit(1)).alias("h1"),
+    voted = df.select(*by, F.explode_outer(terms(F.col(text))).alias("t")).select(
+        *by, F.coalesce("t.l", F.lit(0)).cast("long").alias("w"),
+        F.coalesce("t.h", F.lit(0)).alias("h0"), F.xxhash64("t.h", F.lit(1)).alias("h1"),
     )
     sums = [
         F.sum(F.shiftrightunsigned(f"h{word}", j).bitwiseAND(_LANES) * F.col("w")).alias(f"v{word}_{j}")
         for word in (0, 1)
         for j in range(32)
     ]
-    summed = voted.groupBy(*by).agg(*(F.max(c).alias(c) for c in carried), F.sum("w").alias("weight"), *sums)
-    return summed.select(*by, *carried, _assembled(0).alias("hi"), _assembled(1).alias("lo"))
+    summed = voted.groupBy(*by).agg(F.sum("w").alias("weight"), *sums)
+    return summed.select(*by, _assembled(0).alias("hi"), _assembled(1).alias("lo"))
 
 
 def spelled(hi: Column, lo: Column) -> Column:
@@ -156,32 +161,38 @@ def within_radius(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, blo
 
     Both have a column ``fingerprint`` of 32 hex digits; copies: rows of ``prints`` that bear ``near``.
     """
-    digits = BITS // 4
-    edges = [digits * k // blocks for k in range(blocks + 1)]
-    flips = radius // blocks
-
-    def number(at: int, length: int) -> Column:
-        return F.conv(F.substring("fingerprint", at, length), 16, 10).cast("long")
+    edges = [BITS * k // blocks for k in range(blocks + 1)]
+    widest = max(b - a for a, b in zip(edges, edges[1:]))
+    half = BITS // 2
+
+    def block(start: int, end: int) -> Column:
+        """Bits ``start`` to ``end`` of hi and lo, as a number."""
+        if end <= half:
+            bits = F.shiftrightunsigned("hi", half - end)
+        elif start >= half:
+            bits = F.shiftrightunsigned("lo", BITS - end)
+        else:
+            bits = F.shiftleft("hi", end - half).bitwiseOR(F.shiftrightunsigned("lo", BITS - end))
+        return bits.bitwiseAND((1 << end - start) - 1)
 
     def keys(flipped: int) -> Column:
         """Block and its bits in one number, for all values within ``flipped`` bits."""
         tables = []
-        for k in range(blocks):
-            width = 4 * (edges[k + 1] - edges[k])
-            masks = [sum(1 << b for b in bits) for n in range(flipped + 1) for bits in combinations(range(width), n)]
-            block = number(edges[k] + 1, edges[k + 1] - edges[k]) + F.lit(k << width_most)
-            tables.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, b=block: b.bitwiseXOR(m)))
+        for k, (start, end) in enumerate(zip(edges, edges[1:])):
+            masks = [sum(1 << b for b in bits) for n in range(flipped + 1) for bits in combinations(range(end - start), n)]
+            numbered = block(start, end) + F.lit(k << widest)
+            tables.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, b=numbered: b.bitwiseXOR(m)))
         return F.explode(F.flatten(F.array(*tables)))
 
-    width_most = 4 * max(b - a for a, b in zip(edges, edges[1:]))
-    quarters = lambda name: [number(at, 8).alias(f"{name}{at}") for at in (1, 9, 17, 25)]
-    apart = lambda at: F.bit_count(F.col(f"a{at}").bitwiseXOR(F.col(f"n{at}")))
-    stored = prints.groupBy("fingerprint").agg(F.count("*").alias("copies"))
-    wanted = asked.select("fingerprint").distinct()
-    # The many keys of an asked fingerprint travel with a quarter of it; the rest follows for what is near by that.
-    probes = wanted.select(number(25, 8).alias("a25"), keys(flips).alias("k"))
-    table = stored.select(F.col("fingerprint").alias("near"), "copies", *quarters("n"), keys(0).alias("k"))
-    close = probes.join(table, "k").where(apart(25) <= radius).drop("k")
-    whole = wanted.select("fingerprint", *quarters("a"))
-    found = close.join(whole, "a25").where(sum((apart(at) for at in (1, 9, 17, 25)), F.lit(0)) <= radius)
-    return found.select("fingerprint", "near", "copies").distinct()
+    # Grouped as numbers, so that the digits are read once for each row and not once for each key.
+    number = lambda at: F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long")
+    as_numbers = lambda df: df.select(number(1).alias("hi"), number(17).alias("lo")).groupBy("hi", "lo")
+    stored, wanted = as_numbers(prints).agg(F.count("*").alias("copies")), as_numbers(asked).agg(F.count("*").alias("_n"))
+    table = stored.select(F.col("hi").alias("near_hi"), F.col("lo").alias("near_lo"), "copies", keys(0).alias("k"))
+    apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("near_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("near_lo")))
+    found = wanted.select("hi", "lo", keys(radius // blocks).alias("k")).join(table, "k").where(apart <= radius)
+    return found.select("hi", "lo", "near_hi", "near_lo", "copies").distinct().select(
+        spelled(F.col("hi"), F.col("lo")).alias("fingerprint"),
+        spelled(F.col("near_hi"), F.col("near_lo")).alias("near"),
+        "copies",
+    )
