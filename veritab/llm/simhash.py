@@ -190,7 +190,9 @@ def within_radius(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, blo
     stored, wanted = as_numbers(prints).agg(F.count("*").alias("copies")), as_numbers(asked).agg(F.count("*").alias("_n"))
     table = stored.select(F.col("hi").alias("near_hi"), F.col("lo").alias("near_lo"), "copies", keys(0).alias("k"))
     apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("near_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("near_lo")))
-    found = wanted.select("hi", "lo", keys(radius // blocks).alias("k")).join(table, "k").where(apart <= radius)
+    probes = wanted.select("hi", "lo", keys(radius // blocks).alias("k"))
+    # Spark guesses the size before the keys are listed, far too low; sides that grow with the data aren't broadcast.
+    found = probes.join(table.hint("merge"), "k").where(apart <= radius)
     return found.select("hi", "lo", "near_hi", "near_lo", "copies").distinct().select(
         spelled(F.col("hi"), F.col("lo")).alias("fingerprint"),
         spelled(F.col("near_hi"), F.col("near_lo")).alias("near"),
