@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veritab.functions import grams, numbers, text
-from veritab.operators import anomaly, clean, profile, quantiles, similarity
+from veritab.operators import anomaly, clean, compare, profile, quantiles, similarity
 from veritab.operators.isolation import isolation_forest
 from veritab.plans.batch import NUMBERS, check_batch
 from veritab.plans.players import player_tables
@@ -279,3 +279,20 @@ def test_profile_beside_write(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/t").count() == 4
     empty = profile.profile_beside_write(df.limit(0), f"{tmp_path}/none").collect()
     assert all(r["value"] == 0 for r in empty if r["metric"] in ("rows", "nulls", "non_null", "total_nulls"))
+
+
+def test_pair_similarity_of_columns_is_the_similarity(spark):
+    texts = ["", "a", "jalan mawar nomor 1", "mawar jalan nomor 1", "aaaa aaaa aaaa", "aaaa aaa", "zq", "né en ñ", "x" * 300, "x" * 300 + " y"]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    scored = pairs.select(F.expr(grams.similarity("a", "b")).alias("x"), grams.pair_similarity("a", "b").alias("y"))
+    assert all(r.x == r.y for r in scored.collect())
+
+
+def test_block_rows_normalise_before_they_meet(spark):
+    mapping = {"Nama Pelanggan": "nama_pelanggan", "Biaya Listrik (Rp)": "biaya_listrik"}
+    docs = spark.createDataFrame([("d", "Budi", "Rp 1.000")], "doc_id string, nama_pelanggan string, biaya_listrik string")
+    master = spark.createDataFrame([(0, "BUDI", "1000")], "row_idx long, `Nama Pelanggan` string, `Biaya Listrik (Rp)` string")
+    met = compare.compare_with_block_rows(docs, master, F.lit(1), F.lit(1), mapping)
+    assert [r.match_count for r in met.collect()] == [2]
+    above_join = met._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "regexp_replace" not in above_join
