@@ -14,8 +14,12 @@ _WEIGHT2 = G.UNSHARED
 
 
 def _pair_grams(pairs: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """(keys, gram, ta, tb): how often either text of a pair has each gram."""
-    sides = pairs.select(
+    """(keys, gram, ta, tb): how often either text of a pair has each gram.
+
+    Pairs are spread first and keep their place: a task counts the grams of its pairs, few of them at a time.
+    """
+    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sides = pairs.repartition(spread, *keys).select(
         *keys,
         F.inline(
             F.array(
@@ -93,6 +97,8 @@ def best_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     fitted over a query and its candidates; of equal scores the lowest idx wins. Without
     candidates the result is (-1, 0.0).
     """
+    # Spread before texts become grams: a task counts those of its candidates, and sums them up where they are.
+    spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = queries.select(
         "query_id", F.lit(None).cast("bigint").alias("idx"), F.expr(normalize_address("query")).alias("text")
     ).unionByName(
@@ -100,6 +106,7 @@ def best_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
             "query_id", F.col("idx").cast("bigint"), F.expr(normalize_address("candidate")).alias("text")
         )
     )
+    texts = texts.repartition(spread, "query_id", "idx")
     sizes = candidates.groupBy("query_id").agg((F.count(F.lit(1)) + 1).alias("texts"))
     tf = texts.select("query_id", "idx", F.inline_outer(F.expr(G.gram_counts("text"))))
     tf = tf.filter(F.col("gram").isNotNull())
