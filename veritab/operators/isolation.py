@@ -83,26 +83,36 @@ def _grow(columns: Sequence[str], limit: int, seed: int):
     return grow
 
 
+def _depth(child: np.ndarray, leaf: np.ndarray) -> int:
+    """Steps from the root to the deepest leaf; children come after their parent."""
+    depth = np.zeros(len(child), dtype="int64")
+    for node in np.flatnonzero(~leaf):
+        depth[child[node] : child[node] + 2] = depth[node] + 1
+    return int(depth.max())
+
+
 def _scorer(spark, nodes: pd.DataFrame, columns: Sequence[str], sample: int):
-    trees = [t.sort_values("node") for _, t in nodes.groupby("tree")]
-    packed = spark.sparkContext.broadcast(
-        [tuple(t[c].to_numpy() for c in ("feature", "threshold", "child", "path")) for t in trees]
-    )
+    trees = []
+    for _, t in nodes.groupby("tree"):
+        t = t.sort_values("node")
+        feature, threshold, child, path = (t[c].to_numpy() for c in ("feature", "threshold", "child", "path"))
+        leaf = feature < 0
+        # A leaf leads to itself, so that all rows take the same number of steps.
+        child = np.where(leaf, np.arange(len(t)), child).astype("int64")
+        trees.append((np.maximum(feature, 0).astype("int64"), np.where(leaf, np.inf, threshold), child, path, _depth(child, leaf)))
+    packed = spark.sparkContext.broadcast(trees)
     usual = mean_path(sample) or 1.0
 
     @F.pandas_udf("double")
     def score(rows: pd.DataFrame) -> pd.Series:
         values = rows[list(columns)].to_numpy(dtype="float64")
-        every = np.arange(len(values))
+        flat = np.ascontiguousarray(values).ravel()
+        start = np.arange(len(values)) * values.shape[1]
         total = np.zeros(len(values))
-        for feature, threshold, child, path in packed.value:
+        for feature, threshold, child, path, depth in packed.value:
             at = np.zeros(len(values), dtype="int64")
-            while True:
-                inner = feature[at] >= 0
-                if not inner.any():
-                    break
-                right = values[every, np.maximum(feature[at], 0)] > threshold[at]
-                at = np.where(inner, child[at] + right, at)
+            for _ in range(depth):
+                at = child[at] + (flat[start + feature[at]] > threshold[at])
             total += path[at]
         return pd.Series(-np.power(2.0, -total / len(packed.value) / usual))
 
