@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from veritab import session
 from veritab.functions import grams, numbers, text
-from veritab.operators import anomaly, clean, compare, profile, quantiles, similarity
+from veritab.operators import anomaly, clean, compare, isolation, profile, quantiles, similarity
 from veritab.operators.isolation import isolation_forest
 from veritab.plans.batch import NUMBERS, check_batch
 from veritab.plans.players import player_tables
@@ -296,3 +297,30 @@ def test_block_rows_normalise_before_they_meet(spark):
     assert [r.match_count for r in met.collect()] == [2]
     above_join = met._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
     assert "regexp_replace" not in above_join
+
+
+def test_grams_are_counted_where_pairs_are_spread(spark):
+    pairs = spark.createDataFrame([(i, f"text {i}", "text") for i in range(64)], "k long, a string, b string").coalesce(1)
+    used = similarity._pair_grams(pairs, ["k"], "a", "b").select(F.spark_partition_id()).distinct().count()
+    assert used > 1
+    asked = spark.createDataFrame([("q", "text 7")], "query_id string, query string")
+    found = similarity.best_candidates(asked, pairs.select(F.lit("q").alias("query_id"), F.col("k").alias("idx"), F.col("a").alias("candidate")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and [r.best_index for r in found.collect()] == [7]
+
+
+def test_bounded_batches_are_small(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        session.bound_batches(spark)
+        assert int(spark.conf.get(key)) <= 1 << 20
+        texts = spark.createDataFrame([("\ufb01n\u20ac",), (None,), ("",)], "t string").select(text.latin1_text("t"))
+        assert col(texts) == ["fin?", None, ""]
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def test_leaves_of_a_tree_lead_to_themselves():
+    child, leaf = np.array([1, 1, 3, 3, 4]), np.array([False, True, False, True, True])
+    assert isolation._depth(child, leaf) == 2
