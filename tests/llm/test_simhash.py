@@ -96,6 +96,17 @@ def test_radius_search_misses_nothing(spark):
     assert got == want
 
 
+def test_block_keys_tell_fingerprints_apart(spark):
+    """A row is met under its own bits and those flipped, so the search joins few pairs: all had the key 0 before."""
+    rng = random.Random(5)
+    rows = [tuple(rng.getrandbits(64) - (1 << 63) for _ in range(2)) for _ in range(50)]
+    listed = spark.createDataFrame(rows, "hi long, lo long").select(
+        simhash.block_keys(0).alias("own"), simhash.block_keys(2).alias("met")
+    ).collect()
+    assert len({k for r in listed for k in r.own}) > 6 * 45
+    assert all(len(set(r.met)) == 1436 and set(r.own) < set(r.met) for r in listed)
+
+
 def test_no_python_in_the_plan(documents):
     rows = simhash.with_next(documents, "doc_id", "text")
     plan = simhash.fingerprints(rows, "text", ["key", "range", "place"])._jdf.queryExecution().toString()

@@ -156,17 +156,14 @@ def edited(text: Column, other: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(other, F.lit(1), half))
 
 
-def within_radius(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(fingerprint, near, copies): for each of ``asked``, the ones of ``prints`` at most ``radius`` bits away.
-
-    Both have a column ``fingerprint`` of 32 hex digits; copies: rows of ``prints`` that bear ``near``.
-    """
+def block_keys(flipped: int, blocks: int = BLOCKS) -> Column:
+    """Array of each block's number and bits of hi and lo, in one number, for all values within ``flipped`` bits."""
     edges = [BITS * k // blocks for k in range(blocks + 1)]
     widest = max(b - a for a, b in zip(edges, edges[1:]))
     half = BITS // 2
 
     def block(start: int, end: int) -> Column:
-        """Bits ``start`` to ``end`` of hi and lo, as a number."""
+        """Bits ``start`` to ``end``, as a number."""
         if end <= half:
             bits = F.shiftrightunsigned("hi", half - end)
         elif start >= half:
@@ -175,22 +172,32 @@ def within_radius(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, blo
             bits = F.shiftleft("hi", end - half).bitwiseOR(F.shiftrightunsigned("lo", BITS - end))
         return bits.bitwiseAND((1 << end - start) - 1)
 
-    def keys(flipped: int) -> Column:
-        """Block and its bits in one number, for all values within ``flipped`` bits."""
-        tables = []
-        for k, (start, end) in enumerate(zip(edges, edges[1:])):
-            masks = [sum(1 << b for b in bits) for n in range(flipped + 1) for bits in combinations(range(end - start), n)]
-            numbered = block(start, end) + F.lit(k << widest)
-            tables.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, b=numbered: b.bitwiseXOR(m)))
-        return F.explode(F.flatten(F.array(*tables)))
+    def flips(k: int, start: int, end: int) -> Column:
+        masks = [sum(1 << b for b in bits) for n in range(flipped + 1) for bits in combinations(range(end - start), n)]
+        numbered = block(start, end) + F.lit(k << widest)
+        # One parameter only: to a second one, even with a default, Spark gives the place in the array.
+        return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: numbered.bitwiseXOR(m))
+
+    return F.flatten(F.array(*[flips(k, start, end) for k, (start, end) in enumerate(zip(edges, edges[1:]))]))
+
 
+def within_radius(prints: DataFrame, asked: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(fingerprint, near, copies): for each of ``asked``, the ones of ``prints`` at most ``radius`` bits away.
+
+    Both have a column ``fingerprint`` of 32 hex digits; copies: rows of ``prints`` that bear ``near``.
+    """
     # Grouped as numbers, so that the digits are read once for each row and not once for each key.
     number = lambda at: F.conv(F.substring("fingerprint", at, 16), 16, -10).cast("long")
-    as_numbers = lambda df: df.select(number(1).alias("hi"), number(17).alias("lo")).groupBy("hi", "lo")
-    stored, wanted = as_numbers(prints).agg(F.count("*").alias("copies")), as_numbers(asked).agg(F.count("*").alias("_n"))
-    table = stored.select(F.col("hi").alias("near_hi"), F.col("lo").alias("near_lo"), "copies", keys(0).alias("k"))
+    as_numbers = lambda df: df.select(number(1).alias("hi"), number(17).alias("lo"))
+    stored = as_numbers(prints).groupBy("hi", "lo").agg(F.count("*").alias("copies"))
+    # A given number of partitions: by their bytes alone, AQE would list the keys of all in one task.
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = as_numbers(asked).repartition(tasks, "hi", "lo").distinct()
+    table = stored.select(
+        F.col("hi").alias("near_hi"), F.col("lo").alias("near_lo"), "copies", F.explode(block_keys(0, blocks)).alias("k")
+    )
     apart = F.bit_count(F.col("hi").bitwiseXOR(F.col("near_hi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("near_lo")))
-    probes = wanted.select("hi", "lo", keys(radius // blocks).alias("k"))
+    probes = wanted.select("hi", "lo", F.explode(block_keys(radius // blocks, blocks)).alias("k"))
     # Spark guesses the size before the keys are listed, far too low; sides that grow with the data aren't broadcast.
     found = probes.join(table.hint("merge"), "k").where(apart <= radius)
     return found.select("hi", "lo", "near_hi", "near_lo", "copies").distinct().select(
