@@ -78,3 +78,18 @@ def test_reruns_agree(documents):
     first = {r.doc_id: r.piece_ids for r in pieces.encode(documents).collect()}
     again = {r.doc_id: r.piece_ids for r in pieces.encode(documents.repartition(5)).collect()}
     assert first == again
+
+
+def test_draws_step_through_the_candidates_of_a_state():
+    """Cumulated probabilities start anew in each state, whatever is held: they had the state's number added before."""
+    sampler = pieces.Sampler(load())
+    texts = ["the unseen 世\U0001f642 words", None, "", "\U0001f642", "the unseen words of others"]
+    keys = np.arange(len(texts))
+    got = sampler.encode(texts, keys, 1)
+    assert sampler.top.max() == 1.0
+    assert got[1] is None and len(got[2]) == 0
+    decoder = pieces.Decoder(load())
+    assert [decoder.decode(ids.tolist()) for ids in got if ids is not None] == [t for t in texts if t is not None]
+    for text, key, ids in zip(texts, keys, got):
+        alone = pieces.Sampler(load()).encode([text], np.array([key]), 1)[0]
+        assert ids is None if text is None else ids.tolist() == alone.tolist()

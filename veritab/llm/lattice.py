@@ -58,6 +58,9 @@ class Trie:
         edges = sorted((node * self.size + k, to) for node, kids in enumerate(children) for k, to in kids.items())
         self.keys = np.array([key for key, _ in edges] + [np.iinfo(np.int64).max], np.int64)
         self.child = np.array([to for _, to in edges] + [0], np.int64)
+        self.roots = np.zeros(self.size, np.int64)  # the root's child for each code, 0 for none
+        for k, to in children[0].items():
+            self.roots[k] = to
         self.rows = np.array(rows, np.int32)
         self.longest = max(map(len, pieces), default=1)
 
@@ -71,15 +74,20 @@ class Trie:
         inside[first + lengths] = False  # the cell after a word is where its zero stands
         codes[: len(inside)][~inside] = 0
         start = np.flatnonzero(inside)
-        node = np.zeros(len(start), np.int64)
+        node = None
         alone = np.zeros(len(inside), bool)
         begins, ends, rows = [], [], []
         at = start
         for depth in range(self.longest):
-            key = node * self.size + codes[at + depth]
-            slot = np.searchsorted(self.keys, key)
-            alive = self.keys[slot] == key
-            at, node = at[alive], self.child[slot[alive]]
+            if depth:
+                key = node * self.size + codes[at + depth]
+                slot = np.searchsorted(self.keys, key)
+                alive = self.keys[slot] == key
+                at, node = at[alive], self.child[slot[alive]]
+            else:
+                child = self.roots[codes[at]]
+                alive = child > 0
+                at, node = at[alive], child[alive]
             if not len(at):
                 break
             row = self.rows[node]

@@ -67,7 +67,8 @@ class Sampler:
 
     State s stands for a unit up to one of its characters. Its candidates are neighbours in the arrays ``code``
     (piece or, from len(pieces) on, a character in bytes) and ``before`` (the state before the piece, -1 at the
-    unit's start); ``top`` has s plus the cumulated probability, so one search in it draws for any state.
+    unit's start) from ``first[s]`` on; ``top`` has the cumulated probability, so the first one above a draw is drawn.
+    A state has few candidates, so stepping through them costs less than searching all arrays.
     """
 
     def __init__(self, vocabulary: Vocabulary, sharpness: float = SHARPNESS) -> None:
@@ -95,7 +96,8 @@ class Sampler:
         self.known = _Units()
         self.states = 0
         self.last = np.zeros(0, np.int64)
-        self.top, self.code, self.before = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.first = np.zeros(0, np.int64)
+        self.top, self.code, self.before = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _in_bytes(self, char: str) -> int:
         if char not in self.bytes_of:
@@ -125,9 +127,13 @@ class Sampler:
         count = np.diff(first, append=len(end))
         run -= np.repeat(run[first] - share[first], count)
         run[first + count - 1] = 1.0
-        self.top = np.concatenate([self.top, self.states + end + np.minimum(run, 1.0)])
-        self.code = np.concatenate([self.code, code])
-        self.before = np.concatenate([self.before, np.where(starts[begin], -1, self.states + begin)])
+        first_of = np.zeros(len(alpha), np.int64)
+        first_of[end[first]] = len(self.top) + first
+        self.first = np.concatenate([self.first, first_of])
+        self.top = np.concatenate([self.top, np.minimum(run, 1.0)])
+        self.code = np.concatenate([self.code, code.astype(np.int32)])
+        before = np.where(starts[begin], -1, self.states + begin)
+        self.before = np.concatenate([self.before, before.astype(np.int32)])
         self.last = np.concatenate([self.last, self.states + x.first + x.lengths])
         self.states += len(alpha)
 
@@ -154,7 +160,12 @@ class Sampler:
         while len(active):
             with np.errstate(over="ignore"):
                 u = _mixed(source[active] + np.uint64(step) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(12)
-            at = np.searchsorted(self.top, state + u.astype(np.float64) / 2.0**52, side="right")
+            u = u.astype(np.float64) / 2.0**52
+            at = self.first[state]
+            below = np.flatnonzero(self.top[at] <= u)
+            while len(below):
+                at[below] += 1
+                below = below[self.top[at[below]] <= u[below]]
             drawn.append((active, self.code[at]))
             count[active] += 1
             state = self.before[at]
@@ -165,16 +176,28 @@ class Sampler:
         for step, (tokens, code) in enumerate(drawn):
             codes[offset[tokens] + count[tokens] - 1 - step] = code
         sizes_out = np.bincount(owner, weights=count, minlength=len(texts)).astype(np.int64)
-        parts = np.split(codes, np.cumsum(sizes_out)[:-1]) if len(texts) else []
-        return [None if t is None else self._spelled(p) for t, p in zip(texts, parts, strict=True)]
-
-    def _spelled(self, codes: np.ndarray) -> np.ndarray:
-        if not len(codes) or codes.max() < self.first_byte_code:
-            return codes.astype(np.int32)
-        first = self.first_byte_code
-        return np.array(
-            [i for c in codes.tolist() for i in ((c,) if c < first else self.byte_codes[c - first])], np.int32
-        )
+        ids, ends = self._spelled(codes, np.cumsum(sizes_out))
+        parts = np.split(ids, ends[:-1]) if len(texts) else []
+        return [None if t is None else p for t, p in zip(texts, parts, strict=True)]
+
+    def _spelled(self, codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``codes``, and where the texts that end at ``ends`` end in them."""
+        spelled = np.flatnonzero(codes >= self.first_byte_code)
+        if not len(spelled):
+            return codes.astype(np.int32), ends
+        which, nth = np.unique(codes[spelled] - self.first_byte_code, return_inverse=True)
+        in_bytes = [self.byte_codes[k] for k in which.tolist()]
+        table = np.array([(*ids, 0, 0, 0)[:4] for ids in in_bytes], np.int32)[nth]
+        size = np.ones(len(codes), np.int64)
+        size[spelled] = np.array([len(ids) for ids in in_bytes])[nth]
+        stop = np.cumsum(size)
+        out = np.zeros(int(stop[-1]), np.int32)
+        out[stop - size] = codes
+        for k in range(4):
+            longer = size[spelled] > k
+            at = spelled[longer]
+            out[stop[at] - size[at] + k] = table[longer, k]
+        return out, np.concatenate([[0], stop])[ends]
 
 
 class Decoder:
