@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -324,3 +326,27 @@ def test_bounded_batches_are_small(spark):
 def test_leaves_of_a_tree_lead_to_themselves():
     child, leaf = np.array([1, 1, 3, 3, 4]), np.array([False, True, False, True, True])
     assert isolation._depth(child, leaf) == 2
+
+
+def test_pair_similarity_of_batches_where_most_texts_meet(spark):
+    """Every text with every other in one batch: the same doubles as one by one, for repeated grams, short and long texts."""
+    words = ["suharto", "aa aa", "jalan elok", "x", "nomor 5 rt 5", "ratna sari", "", "sari ratna"]
+    texts = [f"{a} {b}".strip() for a in words for b in words]
+    for most in (texts, [*texts, "long " * 60]):
+        pairs = spark.createDataFrame([(a, b) for a in most for b in most], "a string, b string").coalesce(1)
+        scored = pairs.select("a", "b", grams.pair_similarity("a", "b").alias("y"))
+        one_by_one = {(r.a, r.b): r.x for r in pairs.repartition(8).select("a", "b", F.expr(grams.similarity("a", "b")).alias("x")).collect()}
+        assert {(r.a, r.b): r.y for r in scored.collect()} == one_by_one
+
+
+def test_addresses_with_rare_and_common_abbreviations(spark):
+    """A text is searched for the abbreviations it may have; the result is that of all of them in turn."""
+    def in_turn(s):
+        s = s.lower().strip()
+        for short, long in text.ABBREVIATIONS:
+            s = re.sub(rf"\b{short}\.?\b", long, s)
+        return re.sub(r"\s+", " ", re.sub(r"[,.\-/\\]+", " ", s)).strip()
+
+    given = ["Jl. A No.5", "jl.gg.x", "rt.gg kel.b", "RT.05/RW.06", "no", "jl", "Komp. X Blk.C", "rt.w.ds", "jl.no.rt.1", "dsa nor", "perum. jl.", "a.b", ""]
+    df = spark.createDataFrame([(g,) for g in given], "x string")
+    assert [r[0] for r in df.coalesce(1).select(F.expr(text.normalize_address("x"))).collect()] == [in_turn(g) for g in given]
