@@ -350,3 +350,16 @@ def test_addresses_with_rare_and_common_abbreviations(spark):
     given = ["Jl. A No.5", "jl.gg.x", "rt.gg kel.b", "RT.05/RW.06", "no", "jl", "Komp. X Blk.C", "rt.w.ds", "jl.no.rt.1", "dsa nor", "perum. jl.", "a.b", ""]
     df = spark.createDataFrame([(g,) for g in given], "x string")
     assert [r[0] for r in df.coalesce(1).select(F.expr(text.normalize_address("x"))).collect()] == [in_turn(g) for g in given]
+
+
+def test_best_candidates_broadcast_nothing_that_grows(spark, monkeypatch):
+    """Queries cut into slices of two candidates: the same winners as in one, ties to the lowest idx, and no table of rows is broadcast."""
+    queries = spark.createDataFrame([(1, "dewi sartika"), (2, "zzz"), (3, "budi"), (None, "x")], "query_id int, query string")
+    rows = [(1, i, f"dewi {t}") for i, t in enumerate(["sari", "sartyka", "sartika", "sartika", "x", "y"])] + [(2, 5, "abc"), (2, 4, "def"), (None, 1, "x")]
+    candidates = spark.createDataFrame(rows, "query_id int, idx long, candidate string")
+    want = [(None, -1, 0.0), (1, 2, 1.0), (2, 4, 0.0), (3, -1, 0.0)]
+    for slice_ in (2, 5000):
+        monkeypatch.setattr(similarity, "SLICE", slice_)
+        best = similarity.best_candidates(queries, candidates)
+        assert sorted((tuple(r) for r in best.collect()), key=lambda r: r[0] or 0) == want
+        assert "Broadcast" not in best._jdf.queryExecution().executedPlan().toString()

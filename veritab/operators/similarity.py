@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veritab.functions import grams as G
 from veritab.functions.text import normalize_address
+from veritab.session import durable
 
 _WEIGHT2 = G.UNSHARED
 
@@ -97,50 +101,77 @@ def best_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     fitted over a query and its candidates; of equal scores the lowest idx wins. Without
     candidates the result is (-1, 0.0).
     """
-    # Spread before texts become grams: a task counts those of its candidates, and sums them up where they are.
+    kind = queries.schema["query_id"].dataType
     spread = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = queries.select(
         "query_id", F.lit(None).cast("bigint").alias("idx"), F.expr(normalize_address("query")).alias("text")
     ).unionByName(
         candidates.select(
-            "query_id", F.col("idx").cast("bigint"), F.expr(normalize_address("candidate")).alias("text")
+            F.col("query_id").cast(kind), F.col("idx").cast("bigint"), F.expr(normalize_address("candidate")).alias("text")
         )
     )
-    texts = texts.repartition(spread, "query_id", "idx")
-    sizes = candidates.groupBy("query_id").agg((F.count(F.lit(1)) + 1).alias("texts"))
-    tf = texts.select("query_id", "idx", F.inline_outer(F.expr(G.gram_counts("text"))))
-    tf = tf.filter(F.col("gram").isNotNull())
-    stats = (
-        tf.groupBy("query_id", "gram")
-        .agg(F.count(F.lit(1)).alias("df"), F.max(F.when(F.col("idx").isNull(), F.col("t"))).alias("tq"))
-        .join(sizes, "query_id")
-        .withColumn("w2", F.pow(F.log((F.col("texts") + 1) / (F.col("df") + 1)) + 1, 2))
+    # Spread before texts become grams: a task counts those of its candidates, and sums them up where they are.
+    texts = durable(texts.filter(F.col("query_id").isNotNull()).repartition(spread, "query_id", "idx"))
+    none = F.struct(F.lit(-0.0).alias("neg"), F.col("idx").cast("bigint").alias("idx"))
+    sizes = candidates.groupBy(F.col("query_id").cast(kind).alias("query_id")).agg(
+        (F.count(F.lit(1)) + 1).alias("texts"), F.min(none).alias("none")
     )
-    query_norm = stats.groupBy("query_id").agg(F.sum(F.col("tq") * F.col("tq") * F.col("w2")).alias("nq"))
-    sims = (
-        tf.filter(F.col("idx").isNotNull())
-        .join(stats.select("query_id", "gram", "tq", "w2"), ["query_id", "gram"])
-        .groupBy("query_id", "idx")
-        .agg(
-            F.sum(F.col("t") * F.coalesce("tq", F.lit(0)) * F.col("w2")).alias("dot"),
-            F.sum(F.col("t") * F.col("t") * F.col("w2")).alias("nc"),
-        )
-        .join(query_norm, "query_id")
-        .select(
-            "query_id",
-            "idx",
-            # Ten places rank, so that the order of summation cannot break a tie.
-            F.rint(F.try_divide("dot", F.sqrt(F.col("nq") * F.col("nc"))) * 1e10).alias("rank"),
-        )
+    sizes = durable(sizes.filter(F.col("query_id").isNotNull()).withColumn("slices", F.expr(f"int(ceil(texts / {SLICE}))")))
+
+    # What grows with the candidates is joined by merging, if at all: a file of a few MB may hold grams that fill the driver.
+    seen = texts.select("query_id", F.explode_outer(F.expr(f"array_distinct({G.grams('text')})")).alias("gram"))
+    seen = seen.filter(F.col("gram").isNotNull()).groupBy("query_id", "gram").agg(F.count(F.lit(1)).alias("df"))
+    asked = texts.filter(F.col("idx").isNull()).select("query_id", F.inline_outer(F.expr(G.gram_counts("text"))))
+    asked = asked.filter(F.col("gram").isNotNull()).groupBy("query_id", "gram").agg(F.max("t").alias("tq"))
+    stats = seen.join(asked.hint("merge"), ["query_id", "gram"], "left").join(sizes.hint("merge"), "query_id")
+    weights = stats.select(
+        "query_id", "gram", F.coalesce("tq", F.lit(0)).cast("double").alias("tq"),
+        F.pow(F.log((F.col("texts") + 1) / (F.col("df") + 1)) + 1, 2).alias("w2"),
+        F.explode(F.expr("sequence(0, slices - 1)")).alias("slice"),
+    )
+    # A query's candidates are cut into slices, and slices of all queries dealt to groups; each brings the weights of its query.
+    own = texts.filter(F.col("idx").isNotNull()).join(sizes.hint("merge"), "query_id").select(
+        "query_id", "idx", "text", F.expr("cast(pmod(xxhash64(idx), slices) as int)").alias("slice")
     )
-    best = (
-        candidates.select("query_id", F.col("idx").cast("bigint"))
-        .join(sims, ["query_id", "idx"], "left")
-        .groupBy("query_id")
-        .agg(F.min(F.struct((-F.coalesce("rank", F.lit(0.0))).alias("neg"), "idx")).alias("best"))
+    groups = max(spread, -(-texts.count() // SLICE))
+    group = F.expr(f"cast(pmod(xxhash64(query_id, slice), {groups}) as int)").alias("_group")
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("neg", T.DoubleType()), T.StructField("idx", T.LongType())])
+    found = (
+        own.select(group, "query_id", "idx", "text").groupBy("_group")
+        .cogroup(weights.select(group, F.col("query_id").alias("of"), "gram", "tq", "w2").groupBy("_group"))
+        .applyInPandas(_best_of_slices, schema)
     )
-    return queries.select("query_id").join(best, "query_id", "left").select(
+    ranked = found.select("query_id", F.struct("neg", "idx").alias("best"))
+    best = ranked.unionByName(sizes.select("query_id", F.col("none").alias("best"))).groupBy("query_id").agg(F.min("best").alias("best"))
+    return queries.select("query_id").join(best.hint("merge"), "query_id", "left").select(
         "query_id",
         F.coalesce("best.idx", F.lit(-1)).alias("best_index"),
         F.coalesce(F.rint(-F.col("best.neg") / 1e6) / 10000.0, F.lit(0.0)).alias("best_score"),
     )
+
+
+#: Candidates that are scored together, about.
+SLICE = 5000
+
+
+def _best_of_slices(candidates: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+    """(query_id, neg, idx): of each query in the group the candidate with the highest rank, the lowest idx among equals."""
+    of: dict = {}
+    for query, gram, tq, w2 in zip(weights["of"], weights["gram"], weights["tq"], weights["w2"]):
+        of.setdefault(query, {})[gram] = (tq * w2, w2, tq * tq * w2)
+    norms = {query: math.fsum(w[2] for w in own.values()) for query, own in of.items()}
+    sums: dict = {}
+    for query, idx, text in zip(candidates["query_id"], candidates["idx"], candidates["text"]):
+        counts = G.counts(text)
+        if counts:
+            own = of[query]
+            parts = sums.setdefault((query, idx), ([], []))
+            parts[0].extend(t * own[g][0] for g, t in counts.items())
+            parts[1].extend(t * t * own[g][1] for g, t in counts.items())
+    best: dict = {}
+    for (query, idx), (dots, squares) in sums.items():
+        if norms[query] > 0:
+            # Sums without rounding and ten places rank, so that the order of grams cannot break a tie.
+            rank = round(math.fsum(dots) / math.sqrt(norms[query] * math.fsum(squares)) * 1e10)
+            best[query] = min(best.get(query, (0.0, idx)), (-float(rank), idx))
+    return pd.DataFrame([(query, *found) for query, found in best.items()], columns=["query_id", "neg", "idx"])
