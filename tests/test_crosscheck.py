@@ -1,10 +1,11 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from catalog.queries import DEMO_DOCUMENT
-from veritab.operators import churn
+from veritab.operators import churn, compare
 from veritab.operators.compare import compare_with_all_rows, compare_with_block_rows
 from veritab.operators.confidence import FEATURES, ConfidenceModel, synthetic_history
 from veritab.operators.extract import PATTERNS, extract, extraction_summary, flat_fields, long_fields
@@ -186,3 +187,24 @@ def test_registered_boosted_trees_search_the_whole_grid(spark, monkeypatch):
     assert [len(v) for v in grid.values()] == [2, 2, 3, 2]
     n = queries._labelled(spark, "/root/testdata/sf0.001").count()
     assert abs(train.count() - 0.6 * n) <= 2
+
+
+def test_counts_of_block_pairs_are_those_of_the_results(spark):
+    """Counts come from the tests alone: the same numbers as from the results, and no result is made where only they are asked."""
+    rng = random.Random(4)
+    given = {f: [None, "", " ", "a", "A b", "jl. a no 5", "jalan a b no 5", "1.000", "Rp 1000", "1000"] for f in compare.COLUMN_TO_FIELD.values()}
+    docs = spark.createDataFrame([(f"d{i}", *(rng.choice(v) for v in given.values())) for i in range(40)], "doc_id string, " + ", ".join(f"{f} string" for f in given))
+    master = spark.createDataFrame([(i, *(rng.choice(v) for v in given.values())) for i in range(60)], "row_idx long, " + ", ".join(f"`{c}` string" for c in compare.COLUMN_TO_FIELD))
+    for use_ml in (True, False):
+        done = compare.compare_with_block_rows(docs, master, F.lit("x"), F.lit("x"), cell=7, use_ml=use_ml)
+        rows = done.collect()
+        assert len(rows) == 40 * 60
+        for r in rows:
+            n = sum(x.match_status == compare.MATCH for x in r.results)
+            assert (r.match_count, r.match_percentage) == (n, round(n / 11 * 1000) / 10)
+        assert sum(r.match_count for r in rows) > 0
+        plan = done.select("doc_id", "row_idx", "match_count", "match_percentage")._jdf.queryExecution().optimizedPlan().toString()
+        assert "match_status" not in plan and "named_struct" not in plan
+        if use_ml:
+            waiting = plan[plan.index("ArrowEvalPython"):].split("\n")[1]
+            assert "Project" in waiting and "Contains" in waiting, waiting
