@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog.queries import DEMO_DOCUMENT
+from veritab.functions.numbers import relative_deviation
+from veritab.functions.text import strip_separators
 from veritab.operators import churn, compare
 from veritab.operators.compare import compare_with_all_rows, compare_with_block_rows
 from veritab.operators.confidence import FEATURES, ConfidenceModel, synthetic_history
@@ -208,3 +210,14 @@ def test_counts_of_block_pairs_are_those_of_the_results(spark):
         if use_ml:
             waiting = plan[plan.index("ArrowEvalPython"):].split("\n")[1]
             assert "Project" in waiting and "Contains" in waiting, waiting
+
+
+def test_deviations_parse_each_side_once(spark):
+    """The same numbers as relative_deviation, with one removal of separators for each of the four texts."""
+    values = ["1.000", "Rp 2000", "", None, "abc", "0", "15,5"]
+    joined = spark.createDataFrame([(a, b, b, a) for a in values for b in values], "d_x string, m_x string, d_y string, m_y string")
+    done = cc._with_deviations(joined, {"x": "dx", "y": "dy"})
+    plain = {c: F.expr(strip_separators(c)) for c in joined.columns}
+    want = joined.select("*", relative_deviation(plain["d_x"], plain["m_x"]).alias("dx"), relative_deviation(plain["d_y"], plain["m_y"]).alias("dy"))
+    assert sorted(map(str, done.collect())) == sorted(map(str, want.collect()))
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("[Rr][Pp]") == 4
