@@ -119,7 +119,8 @@ def best_candidates(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     sizes = durable(sizes.filter(F.col("query_id").isNotNull()).withColumn("slices", F.expr(f"int(ceil(texts / {SLICE}))")))
 
     # What grows with the candidates is joined by merging, if at all: a file of a few MB may hold grams that fill the driver.
-    seen = texts.select("query_id", F.explode_outer(F.expr(f"array_distinct({G.grams('text')})")).alias("gram"))
+    # The written table is small for its rows, so it is spread again before its texts become grams.
+    seen = texts.repartition(spread, "query_id", "idx").select("query_id", F.explode_outer(F.expr(f"array_distinct({G.grams('text')})")).alias("gram"))
     seen = seen.filter(F.col("gram").isNotNull()).groupBy("query_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     asked = texts.filter(F.col("idx").isNull()).select("query_id", F.inline_outer(F.expr(G.gram_counts("text"))))
     asked = asked.filter(F.col("gram").isNotNull()).groupBy("query_id", "gram").agg(F.max("t").alias("tq"))
